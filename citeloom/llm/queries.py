@@ -9,7 +9,9 @@ from citeloom.llm.bpe import encode_corpus
 from citeloom.llm.cooccur import cooccurring_pairs
 from citeloom.llm.mixing import Mix
 from citeloom.llm.spans import coverage, shared_spans
+from citeloom.llm.resolve import resolve_names
 from citeloom.llm.topn import top_n
+from citeloom.operators.packed import split_packed
 from citeloom.operators.versions import latest_version
 from citeloom.sources.tables import norm_key, table
 
@@ -30,6 +32,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("dataset_id", "publication_year", "publication_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    def fields(df: DataFrame, source: str, key: str, columns: list[str]) -> DataFrame:
+        return df.select(F.lit(source).alias("source_table"), F.col(key).cast("string").alias("row_key"), F.explode(F.array(*columns)).alias("text"))
+
+    more = table(spark, d, "additional_discovered_datasets")
+    aliases = split_packed(more, "dataset_id", "aliases").select(F.lit("additional_discovered_datasets").alias("source_table"), "row_key", F.col("value").alias("text"))
+    every = (
+        fields(table(spark, d, "evidence").where("dataset_id is null"), "evidence", "evidence_id", ["dataset_name", "matched_text"])
+        .unionByName(fields(table(spark, d, "data_dyads").where("dataset_id is null"), "data_dyads", "dyad_id", ["alias"]))
+        .unionByName(fields(more, "additional_discovered_datasets", "dataset_id", ["dataset_name"]))
+        .unionByName(aliases)
+    )
+    return resolve_names(every, table(spark, d, "seed_datasets"))
+
+
 def _squeezed(c: Column) -> Column:
     """Apart from case and white space."""
     return F.regexp_replace(F.lower(c), r"(?U)\s+", "")
@@ -81,6 +98,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
     "p5_found": p5_found, "p5_lift": p5_lift,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,

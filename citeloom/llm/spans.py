@@ -230,48 +230,54 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 128) -> D
     Code points of whole texts are compared exactly. Null, empty and shorter texts
     have no spans; a text's repetition within itself is none; rows with the same
     ``doc_id`` are one document. Shards of more than ``shard_texts`` different
-    texts take the split path. ``least`` must be at least ``GRAM``.
+    texts take the split path. ``least`` is between ``GRAM`` and 4095.
     """
-    if least < GRAM:
-        raise ValueError(f"least must be {GRAM} or more")
+    if not GRAM <= least < 4096:
+        raise ValueError(f"least must lie between {GRAM} and 4095")
     # length() counts code points; shorter texts can't hold a stretch
     texts = docs.select("doc_id", "text").where(F.length("text") >= least)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t, h, at, first, last = anchors(b.column(1).to_pylist(), least)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(h), *[pa.array(x.astype(np.int32)) for x in (at, first, last)]], names=["doc_id", "anchor", "at", "first", "last"])
+            # one number for the three places: the later two lie within `least` of the first stretch
+            place = (first << 24) | ((at - first) << 12) | (last - first)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(h), pa.array(place)], names=["doc_id", "anchor", "place"])
 
-    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, at int, first int, last int"), "anchors")
+    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long"), "anchors")
     several = named.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    hits = named.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "first", "last")).alias("hits"))
+    hits = named.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("hits"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, x["anchor"], x["at"] - x["first"], x["first"], text[x["first"] : x["last"] + least]) for d, text, hs in zip(*[c.to_pylist() for c in b.columns]) for x in hs]
+            rows = []
+            for d, text, hs in zip(*[c.to_pylist() for c in b.columns]):
+                for x in hs:
+                    first = x["place"] >> 24
+                    rows.append((d, x["anchor"], x["place"] >> 12 & 0xFFF, first, text[first : first + (x["place"] & 0xFFF) + least]))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string())], names=["doc_id", "anchor", "at", "first", "text"])
 
     parts = texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(cut, "doc_id long, anchor long, at int, first int, text string")
-    parts = materialise(parts.withColumn("text_id", F.md5(F.encode("text", "utf-8"))), "windows")
+    # 64 bits within an anchor of 64 bits
+    parts = materialise(parts.withColumn("text_id", F.xxhash64("text")), "windows")
     one = parts.groupBy("anchor", "text_id").agg(F.first("text").alias("text"), F.first("at").alias("at"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     one = materialise(one, "texts")
-    sizes = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    light = one.join(sizes.where(F.col("n") <= shard_texts), "anchor", "left_semi")
-    heavy = one.join(sizes.where(F.col("n") > shard_texts), "anchor", "left_semi")
+    large = materialise(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_texts).select("anchor"), "large")
+    light, heavy = one.join(large, "anchor", "left_anti"), one.join(large, "anchor", "left_semi")
     shards = light.groupBy("anchor").agg(F.collect_list(F.struct("text_id", "text", "at", "lo", "hi")).alias("texts"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[int, str, int, int]] = []
+            out: list[tuple[int, int, int, int]] = []
             for anchor, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.sort(key=lambda x: x["text_id"])
                 for x, spans in zip(held, shard_spans([(x["text"], x["at"], x["lo"], x["hi"]) for x in held], least)):
                     out += [(anchor, x["text_id"], a, e) for a, e in spans]
             cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["anchor", "text_id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["anchor", "text_id", "a", "b"])
 
-    schema = "anchor long, text_id string, a int, b int"
+    schema = "anchor long, text_id long, a int, b int"
     found = shards.mapInArrow(match, schema)
     # split path: a row per stretch, counted like any other key
     grams = heavy.select("anchor", "text_id", "lo", "hi", "text", F.explode(F.expr(f"sequence(0, length(text) - {least})")).alias("a"))

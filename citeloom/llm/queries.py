@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm.authors import linked_authors, same_person_pairs
 from citeloom.llm.bpe import encode_corpus
 from citeloom.llm.cooccur import cooccurring_pairs
 from citeloom.llm.mixing import Mix
@@ -75,6 +76,15 @@ def p5_lift(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_1").alias("dataset_id_1"), F.col("item_2").alias("dataset_id_2"), "n1", "n2", "n12", F.round("lift", 6).alias("lift"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_person_pairs(linked_authors(table(spark, d, "authors")))
+
+
+def p7_people(spark: SparkSession, d: str) -> DataFrame:
+    """Every linked record with the least author_id of its person."""
+    return linked_authors(table(spark, d, "authors"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -100,6 +110,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p5_found": p5_found, "p5_lift": p5_lift,
+    "p7_found": p7_found, "p7_people": p7_people,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_coverage": p10_coverage,

@@ -19,29 +19,30 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, max_heav
     ``order`` must settle every tie (give a unique last column); equal rows are
     then copies and are all kept up to ``n``. Null group values form a group of
     their own. An empty table gives an empty result. ``salt_by`` names the column
-    whose hash salts; by default all group and order input columns.
+    whose hash salts; by default all columns. A column ``rank`` of ``df`` is replaced.
     """
+    df = df.drop("rank")
     if n < 1:
-        return df.limit(0)
-    name = "_n_in_group"
+        return df.limit(0).withColumn("rank", F.lit(0))
+    name = "__topn_n"
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
-    total = counts.agg(F.sum(name).alias("_total"))
-    heavy = counts.crossJoin(F.broadcast(total)).where((F.col(name) >= least_heavy) & (F.col(name) * max_heavy >= F.col("_total"))).select(*[F.col(g).alias(f"_h_{g}") for g in group])
+    total = counts.agg(F.sum(name).alias("__topn_total"))
+    heavy = counts.crossJoin(F.broadcast(total)).where((F.col(name) >= least_heavy) & (F.col(name) * max_heavy >= F.col("__topn_total"))).select(*[F.col(g).alias(f"__topn_h_{g}") for g in group])
 
     def same() -> Column:
         c = F.lit(True)
         for g in group:
-            c = c & F.col(g).eqNullSafe(F.col(f"_h_{g}"))
+            c = c & F.col(g).eqNullSafe(F.col(f"__topn_h_{g}"))
         return c
 
     hot = df.join(F.broadcast(heavy), same(), "left_semi")
     cold = df.join(F.broadcast(heavy), same(), "left_anti")
     w = Window.partitionBy(*group).orderBy(*order)
-    light = cold.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+    light = cold.withColumn("__topn_rank", F.row_number().over(w)).where(F.col("__topn_rank") <= n)
 
     salt = F.pmod(F.xxhash64(F.col(salt_by) if salt_by else F.struct(*df.columns)), F.lit(salts))
-    pieces = hot.withColumn("_salt", salt).repartitionByRange(*[F.col(g) for g in group], F.col("_salt"))
-    ws = Window.partitionBy(*group, "_salt").orderBy(*order)
-    kept = pieces.withColumn("_rank", F.row_number().over(ws)).where(F.col("_rank") <= n).drop("_rank", "_salt")
-    ranked = kept.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
-    return light.unionByName(ranked).withColumnRenamed("_rank", "rank")
+    pieces = hot.withColumn("__topn_salt", salt).repartitionByRange(*[F.col(g) for g in group], F.col("__topn_salt"))
+    ws = Window.partitionBy(*group, "__topn_salt").orderBy(*order)
+    kept = pieces.withColumn("__topn_rank", F.row_number().over(ws)).where(F.col("__topn_rank") <= n).drop("__topn_rank", "__topn_salt")
+    ranked = kept.withColumn("__topn_rank", F.row_number().over(w)).where(F.col("__topn_rank") <= n)
+    return light.unionByName(ranked).withColumnRenamed("__topn_rank", "rank")

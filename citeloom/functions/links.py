@@ -162,6 +162,6 @@ def find_links(text: Column) -> Column:
 
 def repo_keys(text: Column) -> Column:
     """UDT05: ``owner/repo`` of every repository, once each, first place first; gists as ``gist-<id>``. In the JVM."""
-    repos = F.transform(F.regexp_extract_all(text, F.lit(r"github\.com/([\w.-]+/[\w.-]+)"), F.lit(1)), lambda r: F.regexp_replace(F.regexp_replace(r, r"[.,;:)]+$", ""), r"\.git$", ""))
+    repos = F.transform(F.regexp_extract_all(text, F.lit(r"(?<!gist\.)github\.com/([\w.-]+/[\w.-]+)"), F.lit(1)), lambda r: F.regexp_replace(F.regexp_replace(r, r"[.,;:)]+$", ""), r"\.git$", ""))
     gists = F.transform(F.regexp_extract_all(text, F.lit(r"gist\.github\.com/[\w-]+/([0-9a-f]+)"), F.lit(1)), lambda g: F.concat(F.lit("gist-"), g))
-    return F.array_distinct(F.concat(gists, F.filter(repos, lambda r: ~r.rlike("^[0-9a-f]{20,}$"))))
+    return F.array_distinct(F.concat(gists, repos))

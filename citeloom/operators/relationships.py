@@ -49,7 +49,9 @@ def statistics(rel: DataFrame) -> DataFrame:
     """AGG14, FIL22: counts by type, by complexity, and in all with the mean confidence (0.0 for none)."""
     sets = rel.groupingSets([["relationship_type"], ["complexity"], []], "relationship_type", "complexity").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean"), F.grouping("relationship_type").alias("_t"), F.grouping("complexity").alias("_c"))
     by = F.when(F.col("_t") == 0, "type").when(F.col("_c") == 0, "complexity").otherwise("total")
-    return sets.select(by.alias("by"), F.coalesce(F.when(F.col("_t") == 0, F.col("relationship_type")), F.when(F.col("_c") == 0, F.col("complexity"))).alias("value"), "n", F.round("mean", 6).alias("mean_confidence"))
+    rows = sets.select(by.alias("by"), F.coalesce(F.when(F.col("_t") == 0, F.col("relationship_type")), F.when(F.col("_c") == 0, F.col("complexity"))).alias("value"), "n", F.round("mean", 6).alias("mean_confidence"))
+    none = rel.sparkSession.createDataFrame([("total", None, 0, 0.0)], "by string, value string, n long, mean_confidence double")
+    return rows.unionByName(none).groupBy("by", "value").agg(F.sum("n").alias("n"), F.max("mean_confidence").alias("mean_confidence"))
 
 
 def keep_greedily(names: list[str], ratio: float = 0.8) -> list[bool]:

@@ -76,7 +76,10 @@ def by_type_and_status(analyses: DataFrame, first: str, second: str) -> DataFram
     """AGG10, AGG13: counts by one column, by the other, and in all, in one pass."""
     sets = analyses.groupingSets([[first], [second], []], first, second).agg(F.count(F.lit(1)).alias("n"), F.grouping(first).alias("_a"), F.grouping(second).alias("_b"))
     kind = F.when(F.col("_a") == 0, first).when(F.col("_b") == 0, second).otherwise("total")
-    return sets.select(kind.alias("by"), F.when(F.col("_a") == 0, F.col(first)).when(F.col("_b") == 0, F.col(second)).cast("string").alias("value"), "n")
+    rows = sets.select(kind.alias("by"), F.when(F.col("_a") == 0, F.col(first)).when(F.col("_b") == 0, F.col(second)).cast("string").alias("value"), "n")
+    # an empty table has no grouping sets, but a total
+    none = analyses.sparkSession.createDataFrame([("total", None, 0)], "by string, value string, n long")
+    return rows.unionByName(none).groupBy("by", "value").agg(F.sum("n").alias("n"))
 
 
 def time_stats(rows: DataFrame, value: Column) -> DataFrame:

@@ -35,7 +35,7 @@ def q20_upserted(spark: SparkSession, d: str) -> DataFrame:
 
 def q20_patched(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    changes = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("!"))).alias("c_name"))
+    changes = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("!"))).alias("c_name"))
     return store.patched(c, changes, ["c_custkey"])
 
 
@@ -109,7 +109,7 @@ def q26_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def q26_checked(spark: SparkSession, d: str) -> DataFrame:
     u = _urls(spark, d)
-    results = u.where("c_custkey % 2 = 0").select("url", F.when(F.col("c_custkey") % 4 == 0, 200).otherwise(404).alias("status"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("default_branch"))
+    results = u.select("url", F.when(F.col("c_custkey") % 4 == 0, 200).otherwise(404).alias("status"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("default_branch"))
     return extraction.checked(u, results).select("c_custkey", "is_accessible", "default_branch")
 
 
@@ -191,13 +191,13 @@ def q30_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 def q31_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    new = c.where("c_custkey % 7 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).unionByName(c.where("c_custkey < 10").withColumn("c_custkey", F.col("c_custkey") + 1_000_000))
+    new = c.where("c_mktsegment <> 'BUILDING'").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).unionByName(c.where("c_custkey < 10").withColumn("c_custkey", F.col("c_custkey") + 1_000_000))
     return sync.snapshot_diff(c, new, "c_custkey")
 
 
 def q31_resolved(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "ts")
-    other = e.where("event_id % 2 = 0").withColumn("ts", F.when(F.col("event_id") % 4 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts") - F.expr("INTERVAL 1 HOUR")))
+    other = e.withColumn("ts", F.when(F.col("event_id") % 4 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts") - F.expr("INTERVAL 1 HOUR")))
     return sync.resolved(other, e, "event_id", "ts")
 
 
@@ -242,7 +242,7 @@ def q41_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q42_aligned(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null and doc_id % 2 = 0").select("doc_id", F.col("text").alias("publication_text"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("publication_text"))
     other = table(spark, d, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("repo_text"))
     pairs = docs.join(other, "doc_id", "left").withColumn("datasets", F.array(F.lit("Watershed"), F.lit("Census")))
     return extraction.aligned(pairs).select("doc_id", "matches", "score", "passes")
@@ -251,7 +251,7 @@ def q42_aligned(spark: SparkSession, d: str) -> DataFrame:
 def q43_texts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.md5(text.triage_text(t, 1000)).alias("triage"), F.md5(text.join_text(t, 1000)).alias("joins"), F.md5(text.discovery_text(t, 1000)).alias("discovery"), F.md5(text.code_text(t, 1000)).alias("code"), F.md5(text.around(t, F.lit(200), F.lit(220), 50)).alias("around"), text.quote_place(t, F.lit("grant")).alias("place"))
+    return docs.select("doc_id", F.md5(text.triage_text(t)).alias("triage"), F.md5(text.join_text(t)).alias("joins"), F.md5(text.discovery_text(t)).alias("discovery"), F.md5(text.code_text(t)).alias("code"), F.md5(text.around(t, F.lit(200), F.lit(220), 50)).alias("around"), text.quote_place(t, F.lit("grant")).alias("place"))
 
 
 def q44_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -279,7 +279,7 @@ ORACLE = {
     "q19_distinct_lines": f"WITH {_LINES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS place, line FROM k WHERE rn = 1",
     "q20_upserted": """WITH n AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 2 = 1), o AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 2 = 0)
       SELECT user_id, event_id, ts, value FROM n WHERE rn = 1 UNION ALL SELECT user_id, event_id, ts, value FROM o WHERE rn = 1 AND user_id NOT IN (SELECT user_id FROM n)""",
-    "q20_patched": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_name || '!' ELSE c_name END AS c_name, c_acctbal FROM customer",
+    "q20_patched": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS c_name, c_acctbal FROM customer",
     "q21_matching": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 1000 AND 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10",
     "q22_changed": "SELECT DISTINCT analysis_id, updated_at FROM analyses WHERE updated_at >= TIMESTAMP '2024-06-01'",
     "q25_assembled": """WITH e AS (SELECT DISTINCT * FROM evidence), j AS (SELECT DISTINCT * FROM dataset_joins), n AS (SELECT publication_id, count(*) AS n FROM j GROUP BY 1)
@@ -296,8 +296,8 @@ ORACLE = {
     "q29_repaired": "SELECT c_custkey, 'D' || c_custkey AS name, 5.0 AS confidence FROM customer",
     "q29_prose": "SELECT c_custkey, 'Set ' || c_custkey || ';Great Lakes Dataset' AS names, CAST(1 AS INTEGER) AS n_pairs FROM customer",
     "q29_props": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
-    "q31_snapshot_diff": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'deleted' ELSE 'updated' END AS change FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 1000000, 'inserted' FROM customer WHERE c_custkey < 10",
-    "q31_resolved": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'source' ELSE 'target' END AS winner FROM events WHERE event_id % 2 = 0",
+    "q31_snapshot_diff": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'deleted' ELSE 'updated' END AS change FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 1000000, 'inserted' FROM customer WHERE c_custkey < 10",
+    "q31_resolved": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'source' ELSE 'target' END AS winner FROM events",
     "q31_consistency": "SELECT count(*) AS n_source, count(*) FILTER (c_custkey >= 3) AS n_target, count(*) FILTER (c_custkey < 3) AS difference, count(*) FILTER (c_custkey < 3) <= 5 AS is_consistent FROM customer",
     "q32_synced": "SELECT analysis_id, publication_id, workflow_status, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY updated_at DESC) AS rn FROM analyses WHERE publication_id IS NOT NULL AND workflow_status IS NOT NULL) WHERE rn = 1",
     "q32_reindexed": "SELECT 'v1' AS version, count(*) AS n_source, count(*) AS n_target, CAST(1.0 AS DOUBLE) AS share, 'swapped' AS outcome FROM customer",

@@ -14,6 +14,7 @@ from citeloom.llm.resolve import resolve_names
 from citeloom.llm.topn import top_n
 from citeloom.operators.packed import split_packed
 from citeloom.operators.versions import latest_version
+from citeloom.sources.session import materialise
 from citeloom.sources.tables import norm_key, table
 
 
@@ -29,7 +30,7 @@ def _mentioned() -> Column:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pubs = _publications(spark, d, ["publication_year", "citation_count", "mentioned_datasets"]).where("publication_year is not null")
     rows = pubs.select(F.explode(_mentioned()).alias("dataset_id"), "publication_year", F.col("id").alias("publication_id"), "citation_count")
-    top = top_n(rows, ["dataset_id", "publication_year"], [F.desc_nulls_last("citation_count"), F.asc("publication_id")], 3, salt_by="publication_id")
+    top = top_n(materialise(rows, "mentions"), ["dataset_id", "publication_year"], [F.desc_nulls_last("citation_count"), F.asc("publication_id")], 3, salt_by="publication_id")
     return top.select("dataset_id", "publication_year", "publication_id")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.sources.session import materialise
+
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, max_heavy: int = 2000, least_heavy: int = 100_000, salts: int = 64, salt_by: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group by ``order``.
@@ -14,7 +16,8 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, max_heav
     are range-sorted in salted pieces, each of which keeps its first ``n``, and the
     pieces' survivors are ranked again; no task ever holds a whole heavy group. At
     most ``max_heavy`` groups can be heavy, so the list of them that is broadcast
-    has a proven bound.
+    has a proven bound. ``df`` is read once for the counts and once or twice after:
+    give a table that is cheap to read.
 
     ``order`` must settle every tie (give a unique last column); equal rows are
     then copies and are all kept up to ``n``. Null group values form a group of
@@ -25,9 +28,13 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, max_heav
     if n < 1:
         return df.limit(0).withColumn("rank", F.lit(0))
     name = "__topn_n"
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
-    total = counts.agg(F.sum(name).alias("__topn_total"))
-    heavy = counts.crossJoin(F.broadcast(total)).where((F.col(name) >= least_heavy) & (F.col(name) * max_heavy >= F.col("__topn_total"))).select(*[F.col(g).alias(f"__topn_h_{g}") for g in group])
+    counts = materialise(df.groupBy(*group).agg(F.count(F.lit(1)).alias(name)), "group-counts")
+    total = counts.agg(F.sum(name).alias("n")).first()["n"] or 0
+    least = max(least_heavy, -(-total // max_heavy))
+    heavy = counts.where(F.col(name) >= least).select(*[F.col(g).alias(f"__topn_h_{g}") for g in group])
+    w = Window.partitionBy(*group).orderBy(*order)
+    if heavy.isEmpty():
+        return df.withColumn("__topn_rank", F.row_number().over(w)).where(F.col("__topn_rank") <= n).withColumnRenamed("__topn_rank", "rank")
 
     def same() -> Column:
         c = F.lit(True)
@@ -37,7 +44,6 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, max_heav
 
     hot = df.join(F.broadcast(heavy), same(), "left_semi")
     cold = df.join(F.broadcast(heavy), same(), "left_anti")
-    w = Window.partitionBy(*group).orderBy(*order)
     light = cold.withColumn("__topn_rank", F.row_number().over(w)).where(F.col("__topn_rank") <= n)
 
     salt = F.pmod(F.xxhash64(F.col(salt_by) if salt_by else F.struct(*df.columns)), F.lit(salts))

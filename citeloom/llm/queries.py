@@ -19,16 +19,18 @@ from citeloom.sources.tables import norm_key, table
 
 
 def _publications(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
-    return latest_version(table(spark, d, "publications"), norm_key(F.col("id")), F.col("harvested_at"), ["id", *keep])
+    """Valid versions with the ids they mention; nothing else of a mention is read or shuffled."""
+    rows = table(spark, d, "publications").select("id", "harvested_at", *keep, F.col("mentioned_datasets.id").alias("mentions"))
+    return latest_version(rows, norm_key(F.col("id")), F.col("harvested_at"), ["id", *keep, "mentions"])
 
 
 def _mentioned() -> Column:
     """Distinct dataset keys of one publication."""
-    return F.array_distinct(F.filter(F.transform("mentioned_datasets", lambda m: norm_key(m["id"])), lambda k: k.isNotNull()))
+    return F.array_distinct(F.filter(F.transform("mentions", lambda m: norm_key(m)), lambda k: k.isNotNull()))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pubs = _publications(spark, d, ["publication_year", "citation_count", "mentioned_datasets"]).where("publication_year is not null")
+    pubs = _publications(spark, d, ["publication_year", "citation_count"]).where("publication_year is not null")
     rows = pubs.select(F.explode(_mentioned()).alias("dataset_id"), "publication_year", F.col("id").alias("publication_id"), "citation_count")
     top = top_n(materialise(rows, "mentions"), ["dataset_id", "publication_year"], [F.desc_nulls_last("citation_count"), F.asc("publication_id")], 3, salt_by="publication_id")
     return top.select("dataset_id", "publication_year", "publication_id")
@@ -56,7 +58,7 @@ def _squeezed(c: Column) -> Column:
 
 def _used_datasets(spark: SparkSession, d: str) -> DataFrame:
     """(record, item): the datasets of each publication, from mentions and joins."""
-    pubs = _publications(spark, d, ["mentioned_datasets"])
+    pubs = _publications(spark, d, [])
     mentioned = pubs.select(norm_key(F.col("id")).alias("record"), F.explode(_mentioned()).alias("item"))
     seeds = table(spark, d, "seed_datasets").select(norm_key(F.col("dataset_id")).alias("item"), _squeezed(F.col("dataset_name")).alias("name"))
     joins = table(spark, d, "dataset_joins")

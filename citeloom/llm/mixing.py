@@ -112,7 +112,7 @@ class Mix:
         self.targets = targets.select(norm_key(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("repeats")).where("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats"))
         mine = docs.select("doc_id", norm_key(F.col("source")).alias("source"), "text").join(self.targets.select("source"), "source", "left_semi")
         bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")
-        encoded = encode_corpus(mine.withColumn("bucket", bucket), vocabulary=vocabulary).withColumn("n", F.size("ids").cast("long")).where("n > 0")
+        encoded = encode_corpus(mine.withColumn("bucket", bucket), vocabulary=vocabulary).withColumn("n", F.size("ids").cast("long")).where("n > 0").withColumn("row", F.monotonically_increasing_id())
         self.encoded = materialise(encoded, "encoded")
         # at most BUCKETS rows a source: running totals over them give every bucket's first token
         sums = self.encoded.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
@@ -145,13 +145,23 @@ class Mix:
         size = F.least(F.lit(self.block).cast("long"), F.col("tokens") - F.col("block") * self.block)
         return placed.select("shard", (F.row_number().over(order) - 1).alias("slot"), "source", "repeat", "block", size.cast("int").alias("n_tokens"))
 
-    def blocks(self) -> DataFrame:
-        """``source, block, doc_ids, ids``: the packed blocks."""
+    def blocks(self, wanted: DataFrame | None = None) -> DataFrame:
+        """``source, block, doc_ids, ids``: the packed blocks, all or those in ``wanted`` (``source, block``).
+
+        Places are found on narrow rows; tokens are shuffled only once it is known
+        which documents' are needed, and then only the slices that are.
+        """
         L = self.block
-        w = Window.partitionBy("source", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        at = self.encoded.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0))).join(self.starts, ["source", "bucket"])
-        at = at.select("source", "doc_id", "ids", "n", (F.col("start") + F.col("inner")).alias("at"))
+        w = Window.partitionBy("source", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+        narrow = self.encoded.select("source", "bucket", "doc_id", "row", "n")
+        at = narrow.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0))).join(self.starts, ["source", "bucket"])
+        at = at.select("source", "row", "n", (F.col("start") + F.col("inner")).alias("at"))
         piece = at.withColumn("block", F.explode(F.expr(f"sequence(at div {L}, (at + n - 1) div {L})")))
+        if wanted is not None:
+            piece = piece.join(wanted.select("source", "block").distinct(), ["source", "block"], "left_semi")
+        # a document's pieces, as many as it has blocks
+        pieces = piece.groupBy("row").agg(F.collect_list(F.struct("block", "at")).alias("p"))
+        whole = self.encoded.select("source", "doc_id", "row", "n", "ids").join(pieces, "row").select("source", "doc_id", "n", "ids", F.inline("p"))
 
         def cut() -> Column:
             first = F.greatest(F.lit(0).cast("long"), F.col("block") * L - F.col("at"))
@@ -159,12 +169,13 @@ class Mix:
             return F.slice("ids", (first + 1).cast("int"), (last - first).cast("int"))
 
         # a group holds one block's tokens, never more
-        got = piece.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", cut().alias("ids")))).alias("p"))
+        got = whole.select("source", "block", "at", "doc_id", cut().alias("ids")).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "ids"))).alias("p"))
         return got.select("source", "block", F.col("p.doc_id").alias("doc_ids"), F.flatten("p.ids").alias("ids"))
 
     def records(self) -> DataFrame:
         """The mix itself: a row per slot with its tokens."""
-        return self.slots().join(self.blocks(), ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens", "doc_ids", "ids")
+        slots = self.slots()
+        return slots.join(self.blocks(slots), ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens", "doc_ids", "ids")
 
     def shares(self) -> DataFrame:
         """Per target source: what it has, what it got, and its share of the mix."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.orphans import orphan_references, orphan_report
 from citeloom.operators.packed import split_packed
 from citeloom.operators.shred import flat_table, shred_columns, shred_json
 from citeloom.operators.versions import latest_version
+from citeloom.sources.session import materialise
 from citeloom.sources.tables import norm_key, table
 
 PUBLICATION_ARRAYS = ["authors", "journals", "mentioned_datasets"]
@@ -58,30 +59,34 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(references, live parents) of all three fields."""
-    pubs = valid_publications(spark, d, ["llm_analysis_ref_id", "mentioned_datasets", "harvested_at"])
+    empty = F.array().cast("array<struct<field:string,ref_key:string>>")
     month = lambda c: F.date_format(c, "yyyy-MM").alias("month")
 
-    def of(df: DataFrame, field: str, row_key: str, ref: F.Column, at: str, live: F.Column) -> DataFrame:
-        return df.where(live).select(F.lit(field).alias("field"), F.col(row_key).alias("row_key"), month(F.col(at)), norm_key(ref).alias("ref_key"))
+    def tagged(ids: str, field: str) -> Column:
+        got = F.transform(ids, lambda x: F.struct(F.lit(field).alias("field"), norm_key(x).alias("ref_key")))
+        return F.coalesce(F.array_distinct(F.filter(got, lambda r: r["ref_key"].isNotNull())), empty)
 
-    named = F.array_union(F.transform("llm_analysis_ref_id", lambda x: F.struct(F.lit("publications.llm_analysis_ref_id").alias("field"), norm_key(x).alias("ref_key"))), F.array().cast("array<struct<field:string,ref_key:string>>"))
-    mentioned = F.array_union(F.transform("mentioned_datasets", lambda x: F.struct(F.lit("publications.mentioned_datasets").alias("field"), norm_key(x["id"]).alias("ref_key"))), F.array().cast("array<struct<field:string,ref_key:string>>"))
-    empty = F.array().cast("array<struct<field:string,ref_key:string>>")
-    from_pubs = pubs.select(F.col("id").alias("row_key"), month(F.col("harvested_at")), F.explode(F.concat(F.coalesce(named, empty), F.coalesce(mentioned, empty))).alias("r")).select("r.field", "row_key", "month", "r.ref_key")
-    analyses = valid_analyses(spark, d, ["publication_metadata", "updated_at"])
-    refs = from_pubs.unionByName(of(analyses, "analyses.publication_metadata", "analysis_id", F.col("publication_metadata.publication_id"), "updated_at", F.col("deleted_at").isNull()))
+    # only keys and references are read and shuffled, not the records round them
+    narrow = table(spark, d, "publications").select("id", "harvested_at", "llm_analysis_ref_id", F.col("mentioned_datasets.id").alias("mentions"))
+    pubs = latest_version(narrow, norm_key(F.col("id")), F.col("harvested_at"), ["id", "harvested_at", "llm_analysis_ref_id", "mentions"])
+    all_refs = F.concat(tagged("llm_analysis_ref_id", "publications.llm_analysis_ref_id"), tagged("mentions", "publications.mentioned_datasets"))
+    from_pubs = pubs.select(F.col("id").alias("row_key"), month(F.col("harvested_at")), F.explode(all_refs).alias("r")).select("r.field", "row_key", "month", "r.ref_key")
+    narrow = table(spark, d, "analyses").select("analysis_id", "updated_at", "deleted_at", F.col("publication_metadata.publication_id").alias("ref"))
+    live = materialise(latest_version(narrow, norm_key(F.col("analysis_id")), F.col("updated_at"), ["analysis_id", "updated_at", "deleted_at", "ref"]).where("deleted_at is null").drop("deleted_at"), "live")
+    from_analyses = live.select(F.lit("analyses.publication_metadata").alias("field"), F.col("analysis_id").alias("row_key"), month(F.col("updated_at")), norm_key(F.col("ref")).alias("ref_key"))
+    refs = materialise(from_pubs.unionByName(from_analyses).where("ref_key is not null"), "references")
 
     def keys(df: DataFrame, field: str, key: str) -> DataFrame:
         return df.select(F.lit(field).alias("field"), norm_key(F.col(key)).alias("ref_key"))
 
     more = table(spark, d, "additional_discovered_datasets").where(F.col("deleted_at").isNull())
     parents = (
-        keys(valid_analyses(spark, d, []).where(F.col("deleted_at").isNull()), "publications.llm_analysis_ref_id", "analysis_id")
+        keys(live, "publications.llm_analysis_ref_id", "analysis_id")
         .unionByName(keys(table(spark, d, "seed_datasets"), "publications.mentioned_datasets", "dataset_id"))
         .unionByName(keys(more, "publications.mentioned_datasets", "dataset_id"))
         .unionByName(keys(table(spark, d, "publications"), "analyses.publication_metadata", "id"))
     )
-    return refs.where(F.col("ref_key").isNotNull()), parents
+    return refs, parents
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

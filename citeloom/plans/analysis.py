@@ -292,8 +292,8 @@ ORACLE = {
     "q27_html": "SELECT c_custkey, c_name AS title, 'of ' || c_name AS description, 'https://x.y/' || c_custkey AS canonical, 'en' AS lang, CAST(2 AS INTEGER) AS n_links FROM customer",
     "q28_languages": f"SELECT c_custkey, CASE c_custkey % 7 {' '.join(f'WHEN {i} THEN {e!r}' for i, e in enumerate(_EXPECTED))} END AS language FROM customer",
     "q29_triage_answers": "SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS publication_id, o_orderkey % 5 <> 3 AS is_data_analysis, CASE o_orderkey % 5 WHEN 2 THEN 5.0 WHEN 3 THEN 0.0 ELSE CAST(o_orderkey % 10 AS DOUBLE) END AS confidence FROM orders",
-    "q29_validations": "SELECT c_custkey, CAST(0 AS INTEGER) AS pos, 'D' || c_custkey AS name, true AS is_mentioned, 8.5 AS confidence_mention, 2.0 AS confidence_use FROM customer UNION ALL SELECT c_custkey, 1, 'E', false, 0.0, 0.0 FROM customer",
-    "q29_repaired": "SELECT c_custkey, 'D' || c_custkey AS name, 5.0 AS confidence FROM customer",
+    "q29_validations": "SELECT c_custkey, CAST(0 AS INTEGER) AS pos, 'D' || c_custkey AS name, true AS is_mentioned, CAST(8.5 AS DOUBLE) AS confidence_mention, CAST(2.0 AS DOUBLE) AS confidence_use FROM customer UNION ALL SELECT c_custkey, 1, 'E', false, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE) FROM customer",
+    "q29_repaired": "SELECT c_custkey, 'D' || c_custkey AS name, CAST(5.0 AS DOUBLE) AS confidence FROM customer",
     "q29_prose": "SELECT c_custkey, 'Set ' || c_custkey || ';Great Lakes Dataset' AS names, CAST(1 AS INTEGER) AS n_pairs FROM customer",
     "q29_props": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
     "q31_snapshot_diff": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'deleted' ELSE 'updated' END AS change FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey % 5 = 0 UNION ALL SELECT c_custkey + 1000000, 'inserted' FROM customer WHERE c_custkey < 10",

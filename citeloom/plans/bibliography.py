@@ -289,8 +289,8 @@ from citeloom.functions import scores as _s  # noqa: E402
 
 _FEATURES = f"""
 f AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents),
-g AS (SELECT doc_id, length(t) AS text_length, {_words(_s.ANALYSIS_WORDS)} AS analysis_words, {_words(_s.DATASET_WORDS)} AS dataset_words, {_words(_s.METHOD_WORDS)} AS method_words,
-  len(regexp_extract_all(t, '{_s.NUMBER}')) AS numbers, {" + ".join(f"len(regexp_extract_all(low, '{p}'))" for p in _s.STATISTICS)} AS statistics, regexp_matches(low, 'methods?:') AS has_methods, regexp_matches(low, 'results?:') AS has_results FROM f)"""
+g AS (SELECT doc_id, CAST(length(t) AS INTEGER) AS text_length, {_words(_s.ANALYSIS_WORDS)} AS analysis_words, {_words(_s.DATASET_WORDS)} AS dataset_words, {_words(_s.METHOD_WORDS)} AS method_words,
+  CAST(len(regexp_extract_all(t, '{_s.NUMBER}')) AS INTEGER) AS numbers, CAST({" + ".join(f"len(regexp_extract_all(low, '{p}'))" for p in _s.STATISTICS)} AS INTEGER) AS statistics, regexp_matches(low, 'methods?:') AS has_methods, regexp_matches(low, 'results?:') AS has_results FROM f)"""
 _TERMS = "terms AS (SELECT DISTINCT dataset_id, lower(x) AS term FROM (SELECT dataset_id, dataset_name AS x FROM seed_datasets UNION ALL SELECT dataset_id, trim(unnest(string_split(aliases, ';'))) FROM seed_datasets) WHERE length(x) >= 3)"
 
 ORACLE = {
@@ -304,7 +304,7 @@ ORACLE = {
     "q02_unregistered": f"""WITH {_INDEX}, n AS (SELECT dataset_name AS name, evidence_id AS ord, {_plain('dataset_name')} AS norm FROM evidence WHERE dataset_name IS NOT NULL),
       o AS (SELECT * FROM n WHERE name NOT IN (SELECT dataset_name FROM reg WHERE dataset_name IS NOT NULL) AND norm NOT IN (SELECT norm FROM idx)), a AS (SELECT norm, arg_min(name, (ord, name)) AS dataset_name FROM o GROUP BY 1)
       SELECT {_slug('dataset_name')} AS dataset_id, dataset_name, norm FROM a""",
-    "q03_reviews": f"WITH {_REVIEWS} SELECT dataset_id, aspect, doi, seq, row_number() OVER (PARTITION BY dataset_id ORDER BY CASE aspect WHEN 'validation' THEN 0 ELSE 1 END, doi, seq) - 1 AS place, n_ratings, url FROM rv",
+    "q03_reviews": f"WITH {_REVIEWS} SELECT dataset_id, aspect, doi, seq, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY CASE aspect WHEN 'validation' THEN 0 ELSE 1 END, doi, seq) - 1 AS INTEGER) AS place, n_ratings, url FROM rv",
     "q04_most_common": f"""WITH {_EV}, c AS (SELECT dataset_id, match_type, count(*) AS n, min(evidence_id) AS first FROM ev WHERE dataset_id IS NOT NULL AND trim(match_type) <> '' GROUP BY ALL)
       SELECT dataset_id, match_type AS value FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC, first) AS rn FROM c) WHERE rn = 1""",
     "q05_catalog": f"WITH {_REG}, {_REVIEWS}, n AS (SELECT dataset_id, count(*) AS n_reviews FROM rv GROUP BY 1) SELECT dataset_name AS name, dataset_id AS identifier, {_slug('dataset_name')} AS slug, n_reviews FROM reg JOIN n USING (dataset_id)",

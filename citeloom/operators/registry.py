@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.similarity import indel_ratio, may_reach
 from citeloom.functions.text import alias_list, plain_name, slug
+from citeloom.sources.session import materialise
 
 #: The most aliases of a registry that every task may hold.
 MOST_ALIASES = 1_000_000
@@ -90,6 +91,7 @@ def match_names(names: DataFrame, registry: DataFrame, name: str = "name") -> Da
     exact = registry.where("dataset_name is not null").groupBy(F.col("dataset_name").alias("name")).agg(F.min_by("dataset_id", "src_ord").alias("exact_id"))
     index = alias_index(registry)
     got = distinct.join(exact, "name", "left").withColumn("norm", plain_name(F.col("name"))).join(index.select("norm", F.col("dataset_id").alias("norm_id")), "norm", "left")
+    got = materialise(got, "names")  # read three times below; the names' table only once
     open_ = got.where("exact_id is null and norm_id is null").select("norm").distinct()
     inside = first_overlap(open_, index).withColumnRenamed("dataset_id", "part_id")
     all_ = got.join(inside, "norm", "left")

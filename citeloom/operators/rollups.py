@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.sources.session import materialise
 from citeloom.sources.tables import norm_key
 
 #: The parts of a publication that citations are summed by, and where their names are.
@@ -46,6 +47,7 @@ def dataset_counts(pubs: DataFrame) -> DataFrame:
     A null sync flag is in neither count. Distinct counts go by ids.
     """
     one = pubs.select("id", "sync_elastic", F.array_distinct(F.filter(F.transform("mentioned_datasets", lambda m: norm_key(m["id"])), lambda k: k.isNotNull())).alias("keys"), _ids("authors"), _inst_ids(), _ids("journals"))
+    one = materialise(one, "entities")  # ids only, read twice
     rows = one.select("id", "sync_elastic", F.explode("keys").alias("dataset_id"), "authors", "institutions", "journals")
     base = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_publications"), F.count_if(F.col("sync_elastic")).alias("n_processed"), F.count_if(~F.col("sync_elastic")).alias("n_failed"))
     # one kind of entity after another: distinct pairs shuffle once, their counts hardly at all

@@ -275,7 +275,12 @@ l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS raw, generate_subscrip
 c AS (SELECT doc_id, i, trim(regexp_replace(raw, '[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}\x{001C}-\x{001F}]+', ' ', 'g')) AS line FROM l),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) AS rn FROM c WHERE length(line) > 3)"""
 
+_SPACE = r"[\s\x{00A0}\x{0085}\x{000B}\x{001C}-\x{001F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_LINE = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))"
+
 ORACLE = {
+    "q43_texts": rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LINE}, '\.{{3,}}', '...', 'g'), '-{{3,}}', '---', 'g'), 'https?://\S+', '[URL]', 'g'), 'doi:\s*\S+', '[DOI]', 'gi')) AS triage, md5({_LINE}) AS joins, md5({_LINE}) AS discovery,
+      md5(trim(regexp_replace(regexp_replace(text, '\n{{3,}}', E'\n\n', 'g'), '[ \t]+', ' ', 'g'))) AS code, md5(trim(substring(text, 151, greatest(least(270, length(text)) - 150, 0)))) AS around, CAST(greatest(instr(text, 'grant') - 1, 0) AS INTEGER) AS place FROM documents WHERE text IS NOT NULL""",
     "q19_distinct_lines": f"WITH {_LINES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS place, line FROM k WHERE rn = 1",
     "q20_upserted": """WITH n AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 2 = 1), o AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 2 = 0)
       SELECT user_id, event_id, ts, value FROM n WHERE rn = 1 UNION ALL SELECT user_id, event_id, ts, value FROM o WHERE rn = 1 AND user_id NOT IN (SELECT user_id FROM n)""",

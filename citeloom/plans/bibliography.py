@@ -16,19 +16,20 @@ from citeloom.sources.tables import norm_key, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """Duplicates of a row are one; these tables have one version per key."""
-    return latest_version(df, F.col(key).cast("string"), F.lit(None).cast("timestamp"), df.columns).drop("_key")
-
-
 def full_registry(spark: SparkSession, d: str) -> DataFrame:
     cols = ["dataset_id", "dataset_name", "aliases"]
-    more = _one_per_key(table(spark, d, "additional_discovered_datasets").where("deleted_at is null"), "dataset_id")
-    return registry.ordered_union(table(spark, d, "seed_datasets").select(*cols), more.select(*cols))
+    more = table(spark, d, "additional_discovered_datasets").where("deleted_at is null").select(*cols).distinct()
+    return registry.ordered_union(table(spark, d, "seed_datasets").select(*cols), more)
+
+
+def _evidence(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Evidence without repeats of a row, of the columns that are asked for; the scan reads no others."""
+    return table(spark, d, "evidence").select("evidence_id", *cols).distinct()
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _one_per_key(table(spark, d, "evidence"), "evidence_id")
+def _joins(spark: SparkSession, d: str) -> DataFrame:
+    joins = table(spark, d, "dataset_joins").select("join_id", "publication_id", "dataset1", "dataset2", "join_type", "confidence_score", "join_keys", "methodology").distinct()
+    return relationships.distinct_pairs(relationships.well_formed(joins, 2.0))
 
 
 def q01_alias_index(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +45,7 @@ def q02_unregistered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
-    e = _evidence(spark, d)
+    e = _evidence(spark, d, "dataset_id", "doi", "publication_id", "validation_reasoning", "confidence_score_mention", "confidence_score_use", "dataset_usage_status")
     rows = e.select("dataset_id", F.lit(None).cast("string").alias("title"), "doi", "publication_id", F.col("validation_reasoning").alias("body"), F.col("confidence_score_mention").alias("mention"), F.col("confidence_score_use").alias("use"), F.col("evidence_id").alias("seq"), "dataset_usage_status")
     used, other = rows.where("dataset_usage_status = 'analyzed'"), rows.where("dataset_usage_status is null or dataset_usage_status <> 'analyzed'")
     return catalog.ordered_reviews([catalog.reviews(used, "validation"), catalog.reviews(other, "discovery")])
@@ -61,7 +62,7 @@ def q03_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q04_most_common(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.most_common(_evidence(spark, d).where("dataset_id is not null"), "dataset_id", "match_type", "evidence_id")
+    return catalog.most_common(_evidence(spark, d, "dataset_id", "match_type").where("dataset_id is not null"), "dataset_id", "match_type", "evidence_id")
 
 
 def q05_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +70,7 @@ def q05_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q05_match_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = _evidence(spark, d)
+    e = _evidence(spark, d, "dataset_id", "match_type")
     return catalog.match_counts(e.where("match_type = 'fuzzy'"), "fuzzy").unionByName(catalog.match_counts(e.where("match_type <> 'fuzzy'"), "other"))
 
 
@@ -87,21 +88,22 @@ def q11_dataset_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q12_counts_by(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.by_type_and_status(_evidence(spark, d), "match_type", "dataset_usage_status")
+    return rollups.by_type_and_status(_evidence(spark, d, "match_type", "dataset_usage_status"), "match_type", "dataset_usage_status")
 
 
 def q12_score_stats(spark: SparkSession, d: str) -> DataFrame:
-    got = rollups.time_stats(_evidence(spark, d), F.col("confidence_score_use"))
+    got = rollups.time_stats(_evidence(spark, d, "confidence_score_use"), F.col("confidence_score_use"))
     return got.select(F.round("avg_value", 6).alias("avg_value"), "min_value", "max_value", "n")
 
 
 def q12_recent(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.recent(_evidence(spark, d), "created_at", F.lit("2024-01-01").cast("timestamp_ntz"), 90)
+    return rollups.recent(_evidence(spark, d, "created_at"), "created_at", F.lit("2024-01-01").cast("timestamp_ntz"), 90)
 
 
 def q13_dataset_years(spark: SparkSession, d: str) -> DataFrame:
-    pubs = valid_publications(spark, d, ["publication_year", "mentioned_datasets"])
-    rows = pubs.select("id", "publication_year", F.explode("mentioned_datasets").alias("m")).select("id", "publication_year", norm_key(F.col("m.id")).alias("dataset_id"))
+    narrow = table(spark, d, "publications").select("id", "harvested_at", "publication_year", F.col("mentioned_datasets.id").alias("mentions"))
+    pubs = latest_version(narrow, norm_key(F.col("id")), F.col("harvested_at"), ["id", "publication_year", "mentions"])
+    rows = pubs.select("id", "publication_year", F.explode("mentions").alias("m")).select("id", "publication_year", norm_key(F.col("m")).alias("dataset_id"))
     return rollups.dataset_years(rows, "dataset_id", "publication_year", "id")
 
 
@@ -150,14 +152,12 @@ def q18_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q23_relationships(spark: SparkSession, d: str) -> DataFrame:
-    joins = relationships.distinct_pairs(relationships.well_formed(_one_per_key(table(spark, d, "dataset_joins"), "join_id"), 2.0))
-    rel = relationships.issues(relationships.relationships(joins))
+    rel = relationships.issues(relationships.relationships(_joins(spark, d)))
     return rel.select("relationship_id", "publication_id", "relationship_type", "confidence", "strength", "complexity", F.size("issues").alias("n_issues"))
 
 
 def q23_statistics(spark: SparkSession, d: str) -> DataFrame:
-    joins = relationships.distinct_pairs(relationships.well_formed(_one_per_key(table(spark, d, "dataset_joins"), "join_id"), 2.0))
-    return relationships.statistics(relationships.relationships(joins))
+    return relationships.statistics(relationships.relationships(_joins(spark, d)))
 
 
 def q30_fuzzy(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -53,10 +54,15 @@ def ship_package(spark: SparkSession) -> None:
     """Give every worker this package, once a session, however the driver came to import it."""
     if spark.conf.get("citeloom.shipped", None):
         return
-    root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="citeloom-")) / "citeloom.zip"  # on the driver; Spark sends it on
-    with zipfile.ZipFile(to, "w") as z:
+    root, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(to))
+    # through the session's file system, so that it can be any that the executors share
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/citeloom-{uuid.uuid4().hex}/citeloom.zip")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(at.toString())
     spark.conf.set("citeloom.shipped", "true")

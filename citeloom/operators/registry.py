@@ -7,11 +7,13 @@ over the order in which rows happen to come.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.similarity import indel_ratio, may_reach
@@ -132,25 +134,41 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float = 0.8) -> Data
         raise ValueError("least must lie between 0.7 and 1")
     keep = (1.5 * least - 1) * (1 + least / (2 - least))
 
-    def grams(c: Column) -> Column:
-        two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-        # equal pairs are told apart by how often they came before
-        numbered = F.transform(two, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(two, F.lit(1), i), lambda x: x == g)).cast("string")))
-        return F.concat(numbered, F.when(F.length(c) < 5, F.array_distinct(F.split(c, ""))).otherwise(F.array().cast("array<string>")))
-
-    l, r = left.select("text", grams(F.col("text")).alias("g")), right.select("text", grams(F.col("text")).alias("g"))
-    df = l.select(F.explode("g").alias("gram")).unionByName(r.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-
-    def rarest(x: DataFrame) -> DataFrame:
-        rows = x.select("text", F.explode("g").alias("gram")).join(df, "gram")
-        sure = F.greatest(F.ceil(F.length("text") * keep - 1), F.lit(1))
-        ordered = rows.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-        # short texts keep all they have
-        take = F.when(F.length("text") < 5, F.size("o")).otherwise(F.size("o") - sure + 1)
-        return ordered.select("text", F.explode(F.slice("o", F.lit(1), F.greatest(take, F.lit(1)).cast("int"))).alias("x")).select("text", "x.gram")
-
-    met = rarest(l).withColumnRenamed("text", "a").join(rarest(r).withColumnRenamed("text", "b"), "gram").where(may_reach(F.col("a"), F.col("b"), least * 100)).select("a", "b").distinct()
-    return met.withColumn("score", indel_ratio(F.col("a"), F.col("b")) / 100).where(F.col("score") >= least)
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            side, texts, out, takes = [], [], [], []
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                # equal pairs of letters are told apart by how often they came before
+                seen: Counter = Counter()
+                own = []
+                for g in (t[i : i + 2] for i in range(max(len(t) - 1, 1))):
+                    own.append(f"{g}#{seen[g]}")
+                    seen[g] += 1
+                if len(t) < 5:  # short texts keep all they have
+                    own += sorted(set(t))
+                    take = len(own)
+                else:
+                    take = max(len(own) - max(math.ceil(len(t) * keep - 1), 1) + 1, 1)
+                side += [s] * len(own)
+                texts += [t] * len(own)
+                takes += [take] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(texts, pa.string()), pa.array(takes, pa.int32()), pa.array(out, pa.string())], names=["side", "text", "take", "gram"])
+
+    both = left.select(F.lit(0).alias("side"), "text").unionByName(right.select(F.lit(1).alias("side"), "text")).where("text is not null")
+    rows = materialise(both.mapInArrow(grams, "side int, text string, take int, gram string"), "grams")
+    df = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("side", "text").orderBy("df", "gram"))
+    rarest = rows.join(df, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("take"))
+    l, r = rarest.where("side = 0").select(F.col("text").alias("a"), "gram"), rarest.where("side = 1").select(F.col("text").alias("b"), "gram")
+    met = l.join(r, "gram").where(may_reach(F.col("a"), F.col("b"), least * 100)).select("a", "b")
+    # few bytes but much work a pair: spread by a fixed number, which also serves the grouping;
+    # the count keeps the tests from being pushed below it, where pairs still repeat
+    met = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    once = F.when(F.col("n") > 0, F.col("a"))
+    # edits are never more than insertions and deletions alone: a test in the JVM before any Python
+    met = met.where(F.levenshtein(once, F.col("b")) <= F.lit(1 - least + 1e-9) * (F.length("a") + F.length("b")))
+    return met.withColumn("score", indel_ratio(once, F.col("b")) / 100).where(F.col("score") >= least).select("a", "b", "score")
 
 
 def lookup_fuzzy(asked: DataFrame, datasets: DataFrame, alias: str = "alias", least: float = 0.8) -> DataFrame:

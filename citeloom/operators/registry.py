@@ -44,17 +44,18 @@ def alias_index(registry: DataFrame) -> DataFrame:
     return rows.groupBy(plain_name(F.col("alias")).alias("norm")).agg(F.min_by("dataset_id", "ord").alias("dataset_id"), F.min("ord").alias("ord"))
 
 
-def first_overlap(norms: DataFrame, index: DataFrame) -> DataFrame:
+def first_overlap(norms: DataFrame, index: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
     """``norm, dataset_id``: for distinct ``norm``, the first alias of ``index`` that holds it or that it holds.
 
     Aliases inside a norm are found by one automaton per task, in a pass over the
     norms; norms inside an alias by an equi-join with the parts of aliases, each
-    with its first alias. Both sides of the registry are checked to be under
-    ``MOST_ALIASES``.
+    with its first alias. Tasks hold the index while it has no more than
+    ``MOST_ALIASES``; a larger one is joined by the condition itself.
     """
-    ranked = index.select("norm", "dataset_id", "ord").orderBy("ord").limit(MOST_ALIASES + 1).collect()
-    if len(ranked) > MOST_ALIASES:
-        raise ValueError(f"more than {MOST_ALIASES} aliases")
+    ranked = index.select("norm", "dataset_id", "ord").orderBy("ord").limit(most + 1).collect()
+    if len(ranked) > most:
+        k = index.select(F.col("norm").alias("key"), F.col("dataset_id").alias("first_id"), "ord")
+        return norms.join(k, F.contains(F.col("key"), F.col("norm")) | F.contains(F.col("norm"), F.col("key"))).groupBy("norm").agg(F.min_by("first_id", "ord").alias("dataset_id"))
     spark = norms.sparkSession
     order = [(r["norm"], r["dataset_id"]) for r in ranked]
 

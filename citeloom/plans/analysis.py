@@ -266,6 +266,10 @@ _LIVE = r"""
 live AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(analysis_id, E' \t\n\r')) ORDER BY updated_at DESC NULLS LAST) AS rn FROM analyses WHERE trim(analysis_id, E' \t\n\r') <> '')
   WHERE rn = 1 AND deleted_at IS NULL)"""
+_ITEMS = """
+parts AS (SELECT analysis_id, p.part, json_extract(dataset_analysis, '$.' || p.part) AS v FROM live, (VALUES ('validated_datasets'), ('newly_discovered_datasets'), ('dataset_joins')) AS p(part) WHERE json_valid(dataset_analysis) AND json_type(dataset_analysis) = 'OBJECT'),
+lists AS (SELECT analysis_id, part, CAST(v AS JSON[]) AS l FROM parts WHERE json_type(v) = 'ARRAY'),
+items AS (SELECT analysis_id, part, x FROM (SELECT analysis_id, part, unnest(l) AS x FROM lists) WHERE json_type(x) = 'OBJECT')"""
 _N = 9
 _URLS = f"""
 u AS (SELECT c_custkey, CASE c_custkey % {_N} WHEN 0 THEN 'https://github.com/u' || c_custkey || '/r' || c_custkey || '.git' WHEN 1 THEN 'https://zenodo.org/record/' || c_custkey WHEN 2 THEN 'https://docs.site.io/p/' || c_custkey || '?a=1&b=' || c_custkey || '#top'
@@ -287,6 +291,14 @@ ORACLE = {
     "q20_patched": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS c_name, c_acctbal FROM customer",
     "q21_matching": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 1000 AND 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10",
     "q22_changed": "SELECT DISTINCT analysis_id, updated_at FROM analyses WHERE updated_at >= TIMESTAMP '2024-06-01'",
+    "q24_references": rf"""WITH {_LIVE}, {_ITEMS}
+      SELECT DISTINCT analysis_id, x ->> '$.name' AS name FROM items WHERE part = 'validated_datasets' AND x ->> '$.name' IS NOT NULL AND lower(x ->> '$.name') NOT IN (SELECT lower(dataset_name) FROM seed_datasets)""",
+    "q25_denormalised": rf"""WITH {_LIVE}, {_ITEMS},
+      n AS (SELECT analysis_id, count(*) FILTER (part = 'validated_datasets') AS v, count(*) FILTER (part = 'newly_discovered_datasets') AS w, count(*) FILTER (part = 'dataset_joins') AS j FROM items GROUP BY 1),
+      names AS (SELECT analysis_id, x ->> '$.name' AS name FROM items WHERE part <> 'dataset_joins' UNION SELECT analysis_id, x ->> '$.dataset1' FROM items WHERE part = 'dataset_joins' UNION SELECT analysis_id, x ->> '$.dataset2' FROM items WHERE part = 'dataset_joins'),
+      k AS (SELECT analysis_id, count(*) AS k FROM names WHERE name IS NOT NULL AND name <> '' GROUP BY 1)
+      SELECT live.analysis_id, coalesce(publication_metadata.publication_id, publication_id) AS publication_id, coalesce(array_to_string(publication_metadata.authors, ', '), '') AS authors_text, trim(concat_ws(' ', publication_metadata.title, publication_metadata.abstract)) AS publication_text,
+        CAST(coalesce(v, 0) AS INTEGER) AS n_validated, CAST(coalesce(w, 0) AS INTEGER) AS n_discovered, CAST(coalesce(j, 0) AS INTEGER) AS n_joins, CAST(coalesce(k, 0) AS INTEGER) AS n_datasets FROM live LEFT JOIN n USING (analysis_id) LEFT JOIN k USING (analysis_id)""",
     "q25_assembled": """WITH e AS (SELECT DISTINCT * FROM evidence), j AS (SELECT DISTINCT * FROM dataset_joins), n AS (SELECT publication_id, count(*) AS n FROM j GROUP BY 1)
       SELECT e.publication_id, CAST(count(e.dataset_id) AS INTEGER) AS n_validated_datasets, CAST(count(*) - count(e.dataset_id) AS INTEGER) AS n_newly_discovered_datasets, CAST(coalesce(any_value(n.n), 0) AS INTEGER) AS n_dataset_joins FROM e LEFT JOIN n USING (publication_id) WHERE e.publication_id IS NOT NULL GROUP BY e.publication_id""",
     "q26_urls": rf"""WITH {_URLS} SELECT c_custkey, c_custkey % {_N} NOT IN (4, 5, 6) AS valid,

@@ -38,6 +38,8 @@ def test_overlap_against_a_loop(spark):
     got = {r.norm: r.dataset_id for r in registry.first_overlap(spark.createDataFrame([(n,) for n in norms], "norm string"), index).collect()}
     expect = {n: f"d{next(i for i, k in enumerate(keys) if k in n or n in k)}" for n in norms if any(k in n or n in k for k in keys)}
     assert got == expect
+    joined = registry.first_overlap(spark.createDataFrame([(n,) for n in norms], "norm string"), index, most=3)
+    assert {r.norm: r.dataset_id for r in joined.collect()} == expect
 
 
 @pytest.mark.parametrize("least", [0.8, 0.9, 0.7])

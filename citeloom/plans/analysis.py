@@ -291,6 +291,21 @@ ORACLE = {
     "q20_patched": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS c_name, c_acctbal FROM customer",
     "q21_matching": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 1000 AND 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10",
     "q22_changed": "SELECT DISTINCT analysis_id, updated_at FROM analyses WHERE updated_at >= TIMESTAMP '2024-06-01'",
+    "q24_quality": rf"""WITH {_LIVE}, {_ITEMS},
+      z AS (SELECT analysis_id, max(CASE WHEN part = 'validated_datasets' THEN len(l) END) AS nv, max(CASE WHEN part = 'newly_discovered_datasets' THEN len(l) END) AS nn, count(*) AS parts FROM lists GROUP BY 1),
+      o AS (SELECT analysis_id, bool_or(part = 'validated_datasets' AND CAST(x ->> '$.confidence' AS DOUBLE) NOT BETWEEN 0 AND 1) AS ov, bool_or(part = 'newly_discovered_datasets' AND CAST(x ->> '$.confidence' AS DOUBLE) NOT BETWEEN 0 AND 1) AS onew,
+        bool_or(part = 'dataset_joins' AND lower(trim(x ->> '$.dataset1')) = lower(trim(x ->> '$.dataset2'))) AS itself FROM items GROUP BY 1),
+      b AS (SELECT live.*, publication_metadata AS m, nv, nn, coalesce(parts, 0) AS parts, coalesce(ov, false) AS ov, coalesce(onew, false) AS onew, coalesce(itself, false) AS itself,
+        CASE WHEN json_valid(dataset_analysis) AND json_type(dataset_analysis) = 'OBJECT' THEN TRY_CAST(json_extract_string(dataset_analysis, '$.summary.total_validated_datasets') AS INTEGER) END AS stated FROM live LEFT JOIN z USING (analysis_id) LEFT JOIN o USING (analysis_id)),
+      r AS (SELECT *, coalesce(publication_id <> m.publication_id, false) AS other, coalesce(stated <> nv, false) AS miscounted, coalesce(workflow_status NOT IN ('pending', 'in_progress', 'completed', 'failed'), false) AS odd,
+        analysis_timestamp IS NOT NULL AND TRY_CAST(replace(analysis_timestamp, 'Z', '+00:00') AS TIMESTAMPTZ) IS NULL AS badtime, workflow_status = 'completed' AND dataset_analysis IS NULL AS unfinished FROM b),
+      c AS (SELECT analysis_id, CAST(coalesce(trim(publication_id), '') = '' AS INTEGER) + CAST(coalesce(trim(workflow_id), '') = '' AS INTEGER) + CAST(coalesce(trim(analysis_timestamp), '') = '' AS INTEGER) + CAST(m IS NULL AS INTEGER) + CAST(coalesce(trim(dataset_analysis), '') = '' AS INTEGER) AS n_critical,
+        CAST(other AS INTEGER) + CAST(coalesce(unfinished, false) AS INTEGER) + CAST(ov AS INTEGER) + CAST(onew AS INTEGER) + CAST(odd AS INTEGER) + CAST(badtime AS INTEGER) AS n_error,
+        CAST(coalesce(trim(m.title), '') = '' AS INTEGER) + CAST(coalesce(len(m.authors), 0) = 0 AS INTEGER) + CAST(miscounted AS INTEGER) + CAST(itself AS INTEGER) AS n_warning, CAST(coalesce(nv, 0) = 0 AND coalesce(nn, 0) = 0 AS INTEGER) AS n_info,
+        round((CAST(coalesce(m.publication_id, '') <> '' AS INTEGER) + CAST(coalesce(m.title, '') <> '' AS INTEGER) + CAST(m.authors IS NOT NULL AS INTEGER) + CAST(coalesce(m.abstract, '') <> '' AS INTEGER) + CAST(coalesce(m.publication_date, '') <> '' AS INTEGER) + CAST(coalesce(m.journal, '') <> '' AS INTEGER) + CAST(coalesce(m.doi, '') <> '' AS INTEGER)) * 100.0 / 7 * 0.25
+          + parts * 100.0 / 3 * 0.25 + (CAST(coalesce(workflow_id, '') <> '' AS INTEGER) + CAST(coalesce(workflow_status, '') <> '' AS INTEGER) + CAST(coalesce(analysis_timestamp, '') <> '' AS INTEGER)) * 100.0 / 3 * 0.15, 6) AS completeness,
+        CAST(greatest(0, 100 - 10 * CAST(other AS INTEGER) - 5 * CAST(miscounted AS INTEGER) - 5 * CAST(itself AS INTEGER)) AS DOUBLE) AS consistency, CAST(greatest(0, 100 - 15 * CAST(ov AS INTEGER) - 15 * CAST(onew AS INTEGER) - 8 * CAST(itself AS INTEGER)) AS DOUBLE) AS logic FROM r)
+      SELECT *, CASE WHEN n_critical > 0 THEN 'critical' WHEN n_error > 0 THEN 'poor' WHEN n_warning > 0 THEN CASE WHEN completeness >= 75 THEN 'good' ELSE 'fair' END WHEN completeness >= 90 THEN 'excellent' WHEN completeness >= 75 THEN 'good' WHEN completeness >= 50 THEN 'fair' ELSE 'poor' END AS level FROM c""",
     "q24_references": rf"""WITH {_LIVE}, {_ITEMS}
       SELECT DISTINCT analysis_id, x ->> '$.name' AS name FROM items WHERE part = 'validated_datasets' AND x ->> '$.name' IS NOT NULL AND lower(x ->> '$.name') NOT IN (SELECT lower(dataset_name) FROM seed_datasets)""",
     "q25_denormalised": rf"""WITH {_LIVE}, {_ITEMS},

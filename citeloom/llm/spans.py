@@ -247,6 +247,10 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 128) -> D
     named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long"), "anchors")
     several = named.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     hits = named.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("hits"))
+    hits = materialise(hits, "hits")
+    # a table of its own, so that Spark knows its size: few ids go to every task and the
+    # other texts are never shuffled; many are joined by the partitions the next join needs
+    hit_docs = materialise(hits.select("doc_id"), "hit-docs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,7 +262,7 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 128) -> D
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string())], names=["doc_id", "anchor", "at", "first", "text"])
 
-    parts = texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(cut, "doc_id long, anchor long, at int, first int, text string")
+    parts = texts.join(hit_docs, "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(cut, "doc_id long, anchor long, at int, first int, text string")
     # 64 bits within an anchor of 64 bits
     parts = materialise(parts.withColumn("text_id", F.xxhash64("text")), "windows")
     one = parts.groupBy("anchor", "text_id").agg(F.first("text").alias("text"), F.first("at").alias("at"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))

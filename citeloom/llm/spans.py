@@ -283,7 +283,15 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 128) -> D
 
     schema = "anchor long, text_id long, a int, b int"
     found = shards.mapInArrow(match, schema)
-    # split path: a row per stretch, counted like any other key
+    # split path: a shared stretch reaches this far beyond the anchor on one side at least,
+    # so texts that share no such side with another document are out before anything is split
+    reach = -(-(least - GRAM) // 2)
+    left = F.when(F.col("at") >= reach, F.xxhash64(F.lit("L"), F.expr(f"substring(text, at - {reach} + 1, {reach})")))
+    right = F.when(F.length("text") >= F.col("at") + GRAM + reach, F.xxhash64(F.lit("R"), F.expr(f"substring(text, at + {GRAM} + 1, {reach})")))
+    sides = heavy.select("anchor", "text_id", "lo", "hi", F.explode(F.array(left, right)).alias("side")).where("side is not null")
+    met = sides.groupBy("anchor", "side").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x < y").select("anchor", "side")
+    heavy = heavy.join(sides.join(met, ["anchor", "side"], "left_semi").select("anchor", "text_id").distinct(), ["anchor", "text_id"], "left_semi")
+    # then a row per stretch, counted like any other key
     grams = heavy.select("anchor", "text_id", "lo", "hi", "text", F.explode(F.expr(f"sequence(0, length(text) - {least})")).alias("a"))
     grams = grams.select("anchor", "text_id", "lo", "hi", "a", F.md5(F.encode(F.expr(f"substring(text, a + 1, {least})"), "utf-8")).alias("gram"))
     common = grams.groupBy("anchor", "gram").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x < y").select("anchor", "gram")

@@ -1,11 +1,12 @@
 """Variant spellings of names typed by people.
 
 A trie join. Names are sharded by what else their records share (an institution,
-an iD) and by either end of a surname part, which a single typing error leaves
-alone. In each shard the surnames form a trie; a Levenshtein automaton walks it
-and gives all surnames within the bound; order, initials, short names and middle
-names are then checked on those only. Links are closed over with connected
-components.
+an iD). At a large place, each surname part is first joined to all parts within
+its bound: words so near share a form with letters left out, which names the shard
+where they meet; in it the words form a trie that a Levenshtein automaton walks. A
+part and its neighbours are then a shard, as is a small place as a whole; order,
+initials, short names and middle names are checked in it. Links are closed over
+with connected components.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from citeloom.operators.packed import ID_DELIMITER, PackedGrammar, orcid_value
 from citeloom.operators.versions import latest_version
 from citeloom.sources.session import materialise
 
-EDGE = 3  # letters of either end of a token that name its shard
+WHOLE = 64  # names up to which a place is one shard
 
 
 @dataclass
@@ -66,30 +67,69 @@ def bound(word: str, strong: bool) -> int:
     return 0 if len(word) < 4 else 2 if strong and len(word) > 5 else 1
 
 
-# -- institutions ------------------------------------------------------------------
+def neighbourhood(word: str, most: int) -> set[str]:
+    """What is left of a word without up to ``most`` of its letters, itself too.
 
+    Two words within ``most`` edits share one at least: a letter put in is left out
+    of one word, one replaced or swapped with its neighbour of both.
+    """
+    out = level = {word}
+    for _ in range(most):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return out
 
-def near_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, near): all pairs of distinct words within their bound, each with itself.
 
-    ``tokens`` has distinct ``token``. The same trie join, sharded by a token's ends.
+def near_words(words: DataFrame) -> DataFrame:
+    """(place, word, near): all pairs of words of a place within the bound of ``word``, each with itself.
+
+    ``words`` has distinct ``place, word, strong``. A shard has the words that share
+    a form of their neighbourhoods: few, however large the place.
     """
-    ends = tokens.select("token", F.explode(F.array(F.concat(F.lit("P"), F.substring("token", 1, EDGE)), F.concat(F.lit("S"), F.expr(f"right(token, {EDGE})")))).alias("shard"))
-    shards = ends.repartition("shard").sortWithinPartitions("shard")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            forms = [list(neighbourhood(w, bound(w, strong))) for w, strong in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.list_(pa.string())), *b.columns], names=["forms", "place", "word", "strong"])
+
+    formed = words.select("place", "word", "strong").mapInArrow(spread, "forms array<string>, place string, word string, strong boolean")
+    shards = formed.withColumn("form", F.explode("forms")).select(F.xxhash64("place", "form").alias("shard"), "place", "word", "strong")
+    shards = shards.repartition("shard").sortWithinPartitions("shard")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _by_shard(batches):
+        out: list[tuple[str, str, str]] = []
+        for _, rows in _by_shard(batches):
+            if len(rows) < 2:
+                continue
             trie = Trie()
-            for (w,) in words:
-                trie.add(w, w)
-            a, b = [], []
-            for (w,) in words:
-                for _, vs in trie.near(w, bound(w, True)):
-                    a += [w] * len(vs)
-                    b += vs
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["token", "near"])
+            for place, w, _ in rows:
+                trie.add(w, (place, w))
+            for place, w, strong in rows:  # shards are named by hashes, so places may meet
+                out += {(place, w, v) for _, vs in trie.near(w, bound(w, strong)) for at, v in vs if at == place and v != w}
+            if len(out) > 10_000:
+                yield _columns(out, ["place", "word", "near"])
+                out = []
+        yield _columns(out, ["place", "word", "near"])
 
-    return shards.select("shard", "token").mapInArrow(join, "token string, near string").distinct()
+    near = shards.mapInArrow(join, "place string, word string, near string").distinct()
+    return near.unionByName(words.select("place", "word", F.col("word").alias("near")))
+
+
+def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """A batch of texts."""
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * len(names)], names=names)
+
+
+# -- institutions ------------------------------------------------------------------
+
+
+def near_tokens(tokens: DataFrame) -> DataFrame:
+    """(token, near): all pairs of distinct words within their bound, each with itself.
+
+    ``tokens`` has distinct ``token``. The same trie join, of one place.
+    """
+    words = tokens.select(F.lit("").alias("place"), F.col("token").alias("word"), F.lit(True).alias("strong"))
+    return near_words(words).select(F.col("word").alias("token"), "near")
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]]]:
@@ -233,12 +273,17 @@ class _Shard:
         return self._near_surname(self.names[i].surname)[2].get(self.names[i].given[:1], [])
 
 
-def shard_links(people: list[tuple[str, str, str, bool]], strong: bool) -> list[tuple[str, str]]:
+def shard_links(people: list[tuple[str, str, str, bool]], strong: bool, home: str = "") -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """Links between the people of a shard: (name, iDs, author, given name is established).
 
     An initial stands for a full name only if one person's alone fits; people with
     different iDs aren't linked. The search for a second fitting person ends with
     it, and people already linked aren't compared again.
+
+    ``home`` is the surname part whose neighbours the shard has, so what initials
+    stand for is known of people with that part only; empty if the shard has all. The
+    second list has links of theirs to initials of other parts, which hold if they
+    are found from there too.
     """
     names = [Name.of_text(p[0]) for p in people]
     ids = [set(p[1].split()) for p in people]
@@ -246,11 +291,16 @@ def shard_links(people: list[tuple[str, str, str, bool]], strong: bool) -> list[
     shard = _Shard(names, strong)
     group = list(range(len(people)))
     links: list[tuple[int, int]] = []
+    halves: list[tuple[int, int]] = []
+    here = [not home or home in n.surname for n in names]
+    bare = [i for i, n in enumerate(names) if len(n.given) < 2 and here[i]]
+    # people of other parts are compared with each other only where an initial may stand for them
+    asks = [len(n.given) > 1 and (bool(bare) or at) for n, at in zip(names, here)]
 
-    def fit(i: int, j: int) -> bool:
+    def fit(i: int, j: int, near: bool = strong) -> bool:
         if not strong and ids[i] and ids[j] and not ids[i] & ids[j]:
             return False
-        return same_name(names[i], names[j], known, strong)
+        return same_name(names[i], names[j], known, near)
 
     def find(i: int) -> int:
         while group[i] != i:
@@ -263,33 +313,42 @@ def shard_links(people: list[tuple[str, str, str, bool]], strong: bool) -> list[
             group[find(i)] = find(j)
             links.append((i, j))
 
-    for i, n in enumerate(names):
-        if len(n.given) > 1:
+    for i in range(len(names)):
+        if asks[i]:
             for j in shard.like(i):
-                if i < j and find(i) != find(j) and fit(i, j):
+                if (i < j or not asks[j]) and find(i) != find(j) and fit(i, j):
                     link(i, j)
     ambiguous: set[int] = set()
-    bare = [i for i, n in enumerate(names) if len(n.given) < 2]
     for i in bare:
         fits: dict[int, int] = {}
-        # people of just this surname come first; misspelt ones count only where there is none
+        alike: list[int] = []
+        # people of just this surname come first; misspelt ones count only where there is none,
+        # and are one if the spelling between them is what sets them apart
         for exact in (True, False):
             for j in shard.full_with_initial(i):
                 if (names[j].surname == names[i].surname) == exact and find(j) not in fits and fit(i, j):
+                    if any(fit(j, k, True) for k in fits.values()):
+                        alike.append(j)
+                        continue
                     fits[find(j)] = j
                     if len(fits) > 1 or strong:
                         break
             if fits:
                 break
         if len(fits) == 1:
-            link(i, next(iter(fits.values())))
+            for j in [*fits.values(), *alike]:
+                link(i, j)
         elif fits:
             ambiguous.add(i)
     for i in bare:
         for j in shard.bare_with_initial(i):
-            if i < j and find(i) != find(j) and i not in ambiguous and j not in ambiguous and fit(i, j):
+            if i in ambiguous or j in ambiguous or here[j] and i >= j or find(i) == find(j) or not fit(i, j):
+                continue
+            if here[j]:
                 link(i, j)
-    return [(people[i][2], people[j][2]) for i, j in links]
+            else:
+                halves.append((i, j))
+    return [(people[i][2], people[j][2]) for i, j in links], [(people[i][2], people[j][2]) for i, j in halves]
 
 
 # -- records -------------------------------------------------------------------------
@@ -358,33 +417,39 @@ def linked_authors(authors: DataFrame, known_share: float = 0.0005, known_least:
     by_id = flagged.where("ids <> ''").select("author_id", "name", "ids", "known", F.explode(F.transform(F.split("ids", " "), lambda x: F.concat(F.lit("O "), x))).alias("place"))
     # equal people at one place become one before anything is compared
     nodes = materialise(at.unionByName(by_id), "places")
-    reps = nodes.groupBy("place", "name", "ids", "known").agg(F.min("author_id").alias("rep"))
+    reps = materialise(nodes.groupBy("place", "name", "ids", "known").agg(F.min("author_id").alias("rep")), "reps")
     stars = nodes.join(reps, ["place", "name", "ids", "known"]).where("author_id <> rep").select(F.col("author_id").alias("a"), F.col("rep").alias("b"))
 
     # a given name that isn't established may be a surname in the wrong place: it shards too
     given = F.split("name", r"\|")[1]
     tokens = F.concat(F.split(F.split("name", r"\|")[0], "-"), F.when(~F.col("known") & (F.length(given) > 3), F.array(given)).otherwise(F.array().cast("array<string>")))
-    every = reps.select("*", F.explode(tokens).alias("part"))
-    start = F.substring("part", 1, EDGE)
-    ends = F.explode(F.array(F.struct(F.concat(F.lit(" P "), start).alias("end"), F.lit("").alias("start")), F.struct(F.concat(F.lit(" S "), F.expr(f"right(part, {EDGE})")).alias("end"), start.alias("start"))))
-    sharded = every.select("place", "name", "ids", "rep", "known", ends.alias("e")).select(F.concat("place", "e.end").alias("shard"), "name", "ids", "rep", "known", "e.start").distinct()
+    sized = reps.join(reps.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "place")
+    columns = ["name", "ids", "rep", "known"]
+    small = sized.where(f"n > 1 and n <= {WHOLE}").select("place", F.lit("").alias("home"), *columns)
+    every = materialise(sized.where(f"n > {WHOLE}").select("place", *columns, F.explode(tokens).alias("part")), "parts")
+    parts = every.select("place", F.col("part").alias("word"), F.col("place").startswith("O").alias("strong")).distinct()
+    near = near_words(parts).select("place", F.col("word").alias("home"), F.col("near").alias("part"))
+    large = near.join(every, ["place", "part"]).select("place", "home", *columns).distinct()
+    sharded = small.unionByName(large).select(F.struct("place", "home").alias("shard"), *columns)
     sharded = sharded.repartition("shard").sortWithinPartitions("shard")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        out: list[tuple[str, str, str]] = []
         for shard, rows in _by_shard(batches):
-            # by their ends, only names with different beginnings are new: the others have met
-            if len(rows) < 2 or rows[0][4] and len({r[4] for r in rows}) == 1:
+            if len(rows) < 2:
                 continue
-            for x, y in shard_links([r[:4] for r in rows], shard.startswith("O")):
-                a.append(x)
-                b.append(y)
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-    links = sharded.mapInArrow(join, "a string, b string").unionByName(stars)
+            sure, halves = shard_links(rows, shard["place"].startswith("O"), shard["home"])
+            out += [(a, b, "") for a, b in sure]
+            out += [(a, b, shard["place"]) for a, b in halves]
+            if len(out) > 10_000:
+                yield _columns(out, ["a", "b", "half"])
+                out = []
+        yield _columns(out, ["a", "b", "half"])
+
+    found = materialise(sharded.mapInArrow(join, "a string, b string, half string"), "links")
+    halves = found.where("half <> ''")
+    both = halves.join(halves.select(F.col("b").alias("a"), F.col("a").alias("b"), "half"), ["a", "b", "half"], "left_semi")
+    links = found.where("half = ''").unionByName(both).select("a", "b").unionByName(stars)
     return components(links).select(F.col("id").alias("author_id"), F.col("root").alias("person"))
 
 

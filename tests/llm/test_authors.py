@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from citeloom.llm.authors import Trie, components, linked_authors, same_person_pairs
+from citeloom.llm import authors
+from citeloom.llm.authors import Trie, bound, components, linked_authors, near_words, same_person_pairs
 from citeloom.llm.people import Name, institution_words, parse_name
 from citeloom.llm.resolve import edit_distance
 
@@ -87,3 +88,59 @@ def test_components(spark):
     links = [(f"{i:03}", f"{i + 1:03}") for i in range(0, 40)] + [("x", "y"), ("y", "x"), ("z", "z")]
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
     assert got == {f"{i:03}": "000" for i in range(41)} | {"x": "x", "y": "x"}
+
+
+def edited(word, n, rnd):
+    for _ in range(n):
+        i = rnd.randrange(len(word) - 1)
+        kind, c = rnd.randrange(4), rnd.choice("aeklrst")
+        word = [word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + c + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :]][kind]
+    return word
+
+
+@pytest.mark.parametrize("strong", [False, True])
+def test_shards_lose_no_neighbour(spark, strong):
+    """The shards and their tries against all pairs of words of 4 to 8 letters with 1 and 2 edits, each edit anywhere."""
+    rnd = random.Random(5)
+    words = {"ukeko", "ukako", "slengesen", "selngeden", "unaotni", "unstoni", "zazavao", "zanzaao"}
+    for n in range(4, 9):
+        for _ in range(12):
+            w = "".join(rnd.choice("aeklrst") for _ in range(n))
+            words |= {w, *(edited(w, k, rnd) for k in (1, 1, 1, 2, 2, 2))}
+    rows = [("A x" if not strong else "O x", w, strong) for w in words] + [("A y", "ukeko", strong)]
+    got = sorted(tuple(r) for r in near_words(spark.createDataFrame(rows, "place string, word string, strong boolean")).collect())
+    want = [(p, w, v) for p, w, _ in rows for q, v, _ in rows if p == q and edit_distance(w, v, 2) <= bound(w, strong)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("whole", [0, 64])
+def test_edits_anywhere_in_surnames(spark, monkeypatch, whole):
+    """At large places and at small ones."""
+    monkeypatch.setattr(authors, "WHOLE", whole)
+    x, y = ["University of Halemoor"], ["Oldon Institute of Technology"]
+    rows = [("a1", "Omar Ukeko", None, x), ("a2", "Omar Ukako", None, x), ("b1", "Zelda Abcd", None, x), ("b2", "Zelda Abdc", None, x), ("c1", "Hugo Slengesen", "0099-0000-0000-0001", x), ("c2", "Hugo Selngeden", "0099-0000-0000-0001", y)]
+    assert groups(spark.createDataFrame(people(rows), SCHEMA)) == [["a1", "a2"], ["b1", "b2"], ["c1", "c2"]]
+
+
+@pytest.mark.parametrize("whole", [0, 64])
+def test_initials_of_misspelt_surnames(spark, monkeypatch, whole):
+    """What an initial may stand for is known in full, wherever the edits are."""
+    monkeypatch.setattr(authors, "WHOLE", whole)
+    x, y = ["University of Halemoor"], ["Oldon Institute of Technology"]
+    rows = [("a1", "K. Vapadell", None, x), ("a2", "Katherine Vapdell", None, x), ("a3", "Kurt Vapadel", None, x)]  # two people
+    rows += [("b1", "M. Norlonmura", None, y), ("b2", "Mei Norlonmuura", None, y), ("b3", "Mei Nolonmura", None, y)]  # one
+    rows += [("c1", "T. Brelakovo", None, y), ("c2", "T. Brelakvo", None, y)]
+    assert groups(spark.createDataFrame(people(rows), SCHEMA)) == [["b1", "b2", "b3"], ["c1", "c2"]]
+
+
+def test_large_places_give_the_same(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(25):
+        w = "".join(rnd.choice("aeklrst") for _ in range(rnd.randrange(4, 9)))
+        rows += [(f"p{k:02}{i}", f"{g} {s.capitalize()}", rnd.choice([None, f"0099-0000-0000-{k:04}"]), ["University of Halemoor"]) for i, (g, s) in enumerate([("Katherine", w), ("Katherine", edited(w, 1, rnd)), ("Kathy", edited(w, 2, rnd)), ("Omar", edited(w, 1, rnd))])]
+    df = spark.createDataFrame(people(rows), SCHEMA)
+    monkeypatch.setattr(authors, "WHOLE", 10_000)
+    whole = groups(df)
+    monkeypatch.setattr(authors, "WHOLE", 0)
+    assert groups(df) == whole and len(whole) > 10

@@ -233,12 +233,14 @@ def same_name(a: Name, b: Name, known: frozenset[str], strong: bool) -> bool:
 class _Shard:
     """People of one shard by surname and given name, so that only those are compared who may agree."""
 
-    def __init__(self, names: list[Name], strong: bool):
-        self.names, self.strong = names, strong
+    def __init__(self, names: list[Name], strong: bool, known: frozenset[str]):
+        self.names, self.strong, self.established = names, strong, known
         self.surnames = Trie()
         for i, n in enumerate(names):
-            for part in {*n.surname, *([n.given] if len(n.given) > 3 else [])}:
-                self.surnames.add(part, i)
+            for part in n.surname:
+                self.surnames.add(part, (i, True))
+            if len(n.given) > 1:  # in the other order
+                self.surnames.add(n.given, (i, False))
         self.known: dict[tuple[str, ...], tuple[Trie, dict[str, list[int]], dict[str, list[int]]]] = {}
 
     def _near_surname(self, surname: tuple[str, ...]) -> tuple[Trie, dict[str, list[int]], dict[str, list[int]]]:
@@ -246,15 +248,18 @@ class _Shard:
         got = self.known.get(surname)
         if got is None:
             given, full, bare = Trie(), defaultdict(list), defaultdict(list)
-            for j in sorted({j for part in surname for _, vs in self.surnames.near(part, bound(part, self.strong)) for j in vs}):
+            met = {v for part in surname for _, vs in self.surnames.near(part, bound(part, self.strong)) for v in vs}
+            for j in sorted({j for j, _ in met}):
                 n = self.names[j]
                 if len(n.given) < 2:
                     bare[n.given[:1]].append(j)
                     continue
-                for form in {*given_forms(n.given), "-".join(n.surname)}:  # in either order
+                for form in {*(given_forms(n.given) if (j, True) in met else ()), *(given_forms("-".join(n.surname)) if (j, False) in met else ())}:  # in either order
                     given.add(form, j)
-                for letter in {f[0] for f in given_forms(n.given)}:
-                    full[letter].append(j)
+                # an initial is too little to turn an established given name, or a short one, into a surname
+                if (j, True) in met or len(n.given) > 3 and n.given not in self.established:
+                    for letter in {f[0] for f in given_forms(n.given)}:
+                        full[letter].append(j)
             got = self.known[surname] = (given, full, bare)
         return got
 
@@ -273,8 +278,9 @@ class _Shard:
         return self._near_surname(self.names[i].surname)[2].get(self.names[i].given[:1], [])
 
 
-def shard_links(people: list[tuple[str, str, str, bool]], strong: bool, home: str = "") -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """Links between the people of a shard: (name, iDs, author, given name is established).
+def shard_links(people: list[tuple[str, str, str, bool, bool]], strong: bool, home: str = "") -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Links between the people of a shard: (name, iDs, author, given name
+    is established, whether it's by a surname part that the shard has them, or else by the given name).
 
     An initial stands for a full name only if one person's alone fits; people with
     different iDs aren't linked. The search for a second fitting person ends with
@@ -288,14 +294,14 @@ def shard_links(people: list[tuple[str, str, str, bool]], strong: bool, home: st
     names = [Name.of_text(p[0]) for p in people]
     ids = [set(p[1].split()) for p in people]
     known = frozenset(n.given for n, p in zip(names, people) if p[3])
-    shard = _Shard(names, strong)
+    shard = _Shard(names, strong, known)
     group = list(range(len(people)))
     links: list[tuple[int, int]] = []
     halves: list[tuple[int, int]] = []
     here = [not home or home in n.surname for n in names]
     bare = [i for i, n in enumerate(names) if len(n.given) < 2 and here[i]]
     # people of other parts are compared with each other only where an initial may stand for them
-    asks = [len(n.given) > 1 and (bool(bare) or at) for n, at in zip(names, here)]
+    asks = [len(n.given) > 1 and (bool(bare) and by_surname or at) for n, at, (*_, by_surname) in zip(names, here, people)]
 
     def fit(i: int, j: int, near: bool = strong) -> bool:
         if not strong and ids[i] and ids[j] and not ids[i] & ids[j]:
@@ -316,7 +322,7 @@ def shard_links(people: list[tuple[str, str, str, bool]], strong: bool, home: st
     for i in range(len(names)):
         if asks[i]:
             for j in shard.like(i):
-                if (i < j or not asks[j]) and find(i) != find(j) and fit(i, j):
+                if find(i) != find(j) and fit(i, j):  # of turned names one side may find the other only
                     link(i, j)
     ambiguous: set[int] = set()
     for i in bare:
@@ -420,17 +426,20 @@ def linked_authors(authors: DataFrame, known_share: float = 0.0005, known_least:
     reps = materialise(nodes.groupBy("place", "name", "ids", "known").agg(F.min("author_id").alias("rep")), "reps")
     stars = nodes.join(reps, ["place", "name", "ids", "known"]).where("author_id <> rep").select(F.col("author_id").alias("a"), F.col("rep").alias("b"))
 
-    # a given name that isn't established may be a surname in the wrong place: it shards too
-    given = F.split("name", r"\|")[1]
-    tokens = F.concat(F.split(F.split("name", r"\|")[0], "-"), F.when(~F.col("known") & (F.length(given) > 3), F.array(given)).otherwise(F.array().cast("array<string>")))
+    # names may stand in the other order: a given name meets surnames, but no given names
+    name = F.split("name", r"\|")
+    marked = F.transform(F.split(name[0], "-"), lambda x: F.struct(x.alias("part"), F.lit(True).alias("surname")))
+    turned = F.when(F.length(name[1]) > 1, F.array(F.struct(name[1].alias("part"), F.lit(False).alias("surname"))))
+    tokens = F.concat(marked, F.coalesce(turned, F.array().cast("array<struct<part:string,surname:boolean>>")))
     sized = reps.join(reps.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "place")
     columns = ["name", "ids", "rep", "known"]
-    small = sized.where(f"n > 1 and n <= {WHOLE}").select("place", F.lit("").alias("home"), *columns)
-    every = materialise(sized.where(f"n > {WHOLE}").select("place", *columns, F.explode(tokens).alias("part")), "parts")
+    small = sized.where(f"n > 1 and n <= {WHOLE}").select("place", F.lit("").alias("home"), *columns, F.lit(True).alias("surname"))
+    every = materialise(sized.where(f"n > {WHOLE}").select("place", *columns, F.inline(tokens)), "parts")
     parts = every.select("place", F.col("part").alias("word"), F.col("place").startswith("O").alias("strong")).distinct()
     near = near_words(parts).select("place", F.col("word").alias("home"), F.col("near").alias("part"))
-    large = near.join(every, ["place", "part"]).select("place", "home", *columns).distinct()
-    sharded = small.unionByName(large).select(F.struct("place", "home").alias("shard"), *columns)
+    near = near.join(every.where("surname").select("place", F.col("part").alias("home")).distinct(), ["place", "home"], "left_semi")
+    large = near.join(every, ["place", "part"]).groupBy("place", "home", *columns).agg(F.max("surname").alias("surname"))
+    sharded = small.unionByName(large).select(F.struct("place", "home").alias("shard"), *columns, "surname")
     sharded = sharded.repartition("shard").sortWithinPartitions("shard")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

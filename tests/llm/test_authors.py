@@ -144,3 +144,13 @@ def test_large_places_give_the_same(spark, monkeypatch):
     whole = groups(df)
     monkeypatch.setattr(authors, "WHOLE", 0)
     assert groups(df) == whole and len(whole) > 10
+
+
+@pytest.mark.parametrize("whole", [0, 64])
+def test_reordered_names(spark, monkeypatch, whole):
+    """Of two established given names, of short parts, with a short name."""
+    monkeypatch.setattr(authors, "WHOLE", whole)
+    x, y = ["University of Halemoor"], ["Oldon Institute of Technology"]
+    rows = [("a1", "Robert Thomas", None, x), ("a2", "Thomas Robert", None, x), ("b1", "Wei Li", None, x), ("b2", "Li Wei", None, x), ("c1", "Robert Smith", None, x), ("c2", "Smith Bob", None, x), ("d1", "T. Thomas", None, x)]
+    rows += [(f"{g}{i}", f"{g} {s}", None, y) for g in ("Robert", "Thomas", "Wei", "Li") for i, s in enumerate(("Vapadell", "Torkedi", "Fenkaro", "Brelakovo", "Quimlado"))]
+    assert groups(spark.createDataFrame(people(rows), SCHEMA)) == [["a1", "a2"], ["b1", "b2"], ["c1", "c2"]]

@@ -142,7 +142,7 @@ class Vocabulary:
                     short = [] if near or len(rest) < 3 else [(v, 0.8) for v in self.words if v[0] == rest[0] and _is_subsequence(rest, v)]
                     for v, sim in [*near, *short]:
                         out[f"{w} {v}" if first else f"{v} {w}"] = 0.98 if sim == 1 else 0.88 if near else 0.8
-        return sorted(out.items(), key=lambda x: (-x[1], x[0]))[:12]
+        return sorted(out.items(), key=lambda x: (-x[1], x[0]))
 
     def is_plain(self, token: str) -> bool:
         """Whether a token needs no repair: a reference word, a filler or a number."""
@@ -191,6 +191,12 @@ class Verdict:
 def _assign(words: tuple[str, ...], found: dict[str, list[tuple[float, frozenset[int]]]]) -> tuple[int, float, frozenset[int], float]:
     """(words found, sum of weights, tokens used, least similarity) of the best use of tokens for an entry."""
     best = (0, 0.0, frozenset(), 0.0)
+    # the most that the words from each on can add: what can't be better isn't tried
+    most = [(0, 0.0)]
+    for w in reversed(words):
+        sims = [sim for sim, _ in found.get(w, ())]
+        most.append((most[-1][0] + bool(sims), most[-1][1] + max(sims, default=0.0)))
+    most.reverse()
 
     def go(k: int, n: int, total: float, used: frozenset[int], least: float) -> None:
         nonlocal best
@@ -198,6 +204,8 @@ def _assign(words: tuple[str, ...], found: dict[str, list[tuple[float, frozenset
             if (n, total) > best[:2]:
                 best = (n, total, used, least)
             return
+        if n + most[k][0] < best[0] or n + most[k][0] == best[0] and total + most[k][1] < best[1] - 1e-9:
+            return
         for sim, at in found.get(words[k], ()):
             if not at & used:
                 go(k + 1, n + 1, total + sim, used | at, min(least, sim))
@@ -216,7 +224,7 @@ def judge(tokens: list[str], repaired: dict[str, list[tuple[str, float]]], vocab
             for k, w in enumerate(parts):  # each word of a glued token takes a part of it
                 found[w].append((sim, at if len(parts) == 1 else frozenset([(min(at) + 1) * _PARTS + k])))
     for w in found:
-        found[w] = sorted(found[w], key=lambda x: -x[0])[:4]
+        found[w] = sorted(found[w], key=lambda x: -x[0])
     content = {i for i, t in enumerate(tokens) if t not in FILLERS and not t.isdigit() and not any(c.isdigit() for c in t.translate(LOOKALIKES))}
     acronym: set[str] = set()
     for i, t in enumerate(tokens):

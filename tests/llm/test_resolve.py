@@ -58,3 +58,17 @@ def test_rows(spark):
     assert got == {("t", "1"): "s1", ("t", "2"): "unmatched", ("t", "3"): "unmatched", ("t", "4"): "unmatched", ("t", "5"): "s2", ("t", "6"): "unmatched", ("u", "1"): "s6"}
     assert resolve_names(fields.limit(0), ref).count() == 0
     assert {r.dataset_id for r in resolve_names(fields, ref.limit(0)).collect()} == {"unmatched"}
+
+
+def test_no_candidate_is_cut():
+    """A short form of more than 12 words keeps the longest one; a word at more than 4 places keeps the weakest."""
+    words = [f"st{c}rm" for c in "abcdefghijklmn"]
+    many = Vocabulary.of([(f"e{i}", f"{w} Register", None) for i, w in enumerate(words)] + [("long", "Stratospherical Ozone Census", None)])
+    assert len(many.repair("st")) == 15 and "stratospherical" in dict(many.repair("st"))
+    tokens = tokens_of("St. Ozone Census")
+    got = judge(tokens, {u: r for u in many.to_repair(tokens) if (r := many.repair(u))}, many)
+    assert (got.kind, got.entries) == (FULL, ("long",))
+    six = Vocabulary.of([("six", "wanted aone btwo cthree dfour efive", None)])
+    others = ["aone", "btwo", "cthree", "dfour", "efive"]
+    repaired = {f"t{w}": [(w, 0.95), ("wanted", 0.9)] for w in others} | {"tlast": [("wanted", 0.8)]}
+    assert judge(list(repaired), repaired, six).kind == FULL

@@ -9,7 +9,7 @@ and read again as a bare one::
     items   <- item (delim item)*
     item    <- ws (quoted / bare) ws
     quoted  <- open (close close / !close any)* close &(ws (delim / end))
-    bare    <- (bracketed / !delim any)*
+    bare    <- (whole / bracketed / !delim any)*
     bracketed <- '(' (bracketed / !')' any)* ')'      also [] and {}
 """
 
@@ -29,6 +29,8 @@ BRACKETS = {"(": ")", "[": "]", "{": "}"}
 # Delimiters of free lists, and of identifiers without inner blanks.
 LIST_DELIMITER = r"[;,|\n\t\r•；，、]"
 ID_DELIMITER = r"[;,|\n\t\r•；，、]|(?:\s/\s)|(?:\s+and\s+)|(?:\s+&\s+)|\s+"
+# An iD typed in groups with a blank between them.
+SPACED_ID = r"(?<![0-9A-Za-z‐-―-])\d{4} \d{4} \d{4} \d{3}[\dXx](?![0-9A-Za-z‐-―-])"
 
 OK, UNCLOSED_QUOTE, UNCLOSED_BRACKET, BLANK = "", "unclosed_quote", "unclosed_bracket", "blank"
 _BRACKET = re.compile(r"[()\[\]{}]")
@@ -44,12 +46,12 @@ class Item:
 
 
 class PackedGrammar:
-    """The grammar above with given delimiters. ``opens_list``: whether brackets round the whole field are a list's."""
+    """The grammar above with given delimiters. ``opens_list``: whether brackets round the whole field are a list's; ``whole``: what no delimiter inside it cuts."""
 
-    def __init__(self, delimiter: str = LIST_DELIMITER, opens_list: bool = False):
+    def __init__(self, delimiter: str = LIST_DELIMITER, opens_list: bool = False, whole: str = ""):
         self.delimiter = re.compile(delimiter)
         self.opens_list = opens_list
-        self.bare_end = re.compile(rf"(?:{delimiter})|[()\[\]{{}}]")
+        self.bare_end = re.compile((f"(?P<whole>{whole})|" if whole else "") + rf"(?:{delimiter})|[()\[\]{{}}]")
 
     def parse(self, text: str) -> list[Item]:
         """Every item in order, blank ones too; never fails. Time grows with the length of the text."""
@@ -119,7 +121,9 @@ class PackedGrammar:
             if not m:
                 return s[start:], len(s), error
             ch = m.group()
-            if ch in BRACKETS and ch not in unclosed:
+            if m.lastgroup == "whole":
+                i = m.end()
+            elif ch in BRACKETS and ch not in unclosed:
                 end = self._bracketed(s, m.start())
                 if end is None:
                     unclosed.add(ch)
@@ -156,18 +160,23 @@ def orcid_value(text: str) -> str | None:
     return "-".join(m.groups()).upper() if m else None
 
 
+def orcid_values(text: str) -> list[str]:
+    """Every iD in ``text``, in order."""
+    return ["-".join(m.groups()).upper() for m in _ORCID.finditer(text)]
+
+
 def split_packed(df: DataFrame, key: str, column: str, kind: str = "list") -> DataFrame:
     """One row per value of ``column``: ``row_key, pos, value, error``.
 
     ``pos`` counts the non-blank values from 1. ``kind`` is ``list`` (values as
-    written) or ``orcid`` (iDs; a piece that holds none comes out with a null pos
-    and the error ``no_id``). Null, empty and blank fields give no rows; a
+    written) or ``orcid`` (every iD of a piece; one that holds none comes out with a
+    null pos and the error ``no_id``). Null, empty and blank fields give no rows; a
     malformed quote or bracket is read as plain text and flagged in ``error``.
     Equal (key, text) rows are read once.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = PackedGrammar(ID_DELIMITER, opens_list=True) if kind == "orcid" else PackedGrammar()
+        grammar = PackedGrammar(ID_DELIMITER, opens_list=True, whole=SPACED_ID) if kind == "orcid" else PackedGrammar()
         schema = pa.schema([("row_key", pa.string()), ("pos", pa.int32()), ("value", pa.string()), ("error", pa.string())])
         for batch in batches:
             rows = []
@@ -176,12 +185,12 @@ def split_packed(df: DataFrame, key: str, column: str, kind: str = "list") -> Da
                 for item in grammar.parse(text):
                     if not item.value:
                         continue
-                    value = orcid_value(item.value) if kind == "orcid" else item.value
-                    if value is None:
+                    values = orcid_values(item.value) if kind == "orcid" else [item.value]
+                    if not values:
                         rows.append((k, None, item.value, "no_id"))
-                        continue
-                    pos += 1
-                    rows.append((k, pos, value, item.error))
+                    for value in values:
+                        pos += 1
+                        rows.append((k, pos, value, item.error))
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 

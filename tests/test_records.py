@@ -126,3 +126,15 @@ def test_orphans(spark):
     assert report == {("f", "2024-01"): (4, 1, 1), ("f", None): (2, 2, 1), ("g", "2024-02"): (1, 1, 1), ("f", "2024-03"): (500, 500, 1)}
     assert orphan_references(r.limit(0), p).count() == 0
     assert orphan_references(r, p.limit(0)).count() == 506
+
+
+@pytest.mark.parametrize(
+    ("text", "ends"),
+    [
+        ("(0099-0000-0000-0001; 0099-0000-0000-0002)", "12"), ("0099-0000-0000-0001/0099-0000-0000-0002, 0099-0000-0000-0003", "123"), ("'0099-0000-0000-0001 0099-0000-0000-0002'", "12"),
+        ("0099 0000 0000 0001", "1"), ("0099 0000 0000 0001 0099 0000 0000 0002; orcid: 0099 0000 0000 0003", "123"), ("0099-0000-0000-0001 0099-0000-0000-0002 0099000000000003", "123"),
+    ],
+)
+def test_every_id_of_a_field(spark, text, ends):
+    got = split_packed(spark.createDataFrame([("k", text)], "key string, packed string"), "key", "packed", "orcid").where("pos is not null").orderBy("pos").collect()
+    assert [(r.pos, r.value) for r in got] == [(i, f"0099-0000-0000-000{e}") for i, e in enumerate(ends, 1)]

@@ -36,8 +36,14 @@ LANGUAGE_PATTERNS = {
     "matlab": [r"\bfunction\s+\w+\s*\(", r"\bend\s*$", r"\bfor\s+\w+\s*=", r"\bif\s+\w+\s*==", r"\belseif\s+\w+\s*==", r"\belse\s*$", r"\bplot\s*\(", r"\bfigure\s*\(", r"\bsubplot\s*\(", r"\bhold\s+on"],
     "julia": [r"\bfunction\s+\w+\s*\(", r"\bend\s*$", r"\busing\s+\w+", r"\bimport\s+\w+", r"\bprintln\s*\(", r"\bfor\s+\w+\s+in", r"\bif\s+\w+\s*==", r"\belseif\s+\w+\s*==", r"\belse\s*$", r"\bstruct\s+\w+"],
 }
-# How many of a language's first patterns the short detection looks at, and its names for languages.
-SHORT_PATTERNS = {"python": 5, "r": 5, "sql": 4, "bash": 3, "javascript": 3}
+# The patterns of the short detection, and its names for languages.
+SHORT_PATTERNS = {
+    "python": [r"(?i)\bimport\s+\w+", r"(?i)\bfrom\s+\w+\s+import", r"(?i)\bdef\s+\w+\s*\(", r"(?i)\bclass\s+\w+\s*\(", r"(?i)print\s*\("],
+    "r": [r"(?i)\blibrary\s*\(", r"(?i)\brequire\s*\(", r"(?i)<-", r"(?i)\bdata\.frame\s*\(", r"(?i)\bggplot\s*\("],
+    "sql": [r"(?i)\bSELECT\s+", r"(?i)\bFROM\s+", r"(?i)\bWHERE\s+", r"(?i)\bJOIN\s+"],
+    "bash": [r"(?i)#!/bin/(?:bash|sh)", r"(?i)\b(?:ls|cd|mkdir|rm|cp|mv|grep|awk|sed)\s+", r"\$\{?\w+\}?"],
+    "javascript": [r"(?i)\bfunction\s+\w+\s*\(", r"(?i)\bconst\s+\w+\s*=", r"(?i)\blet\s+\w+\s*=", r"(?i)console\.log\s*\("],
+}
 HINTS = {"python": "python", "py": "python", "r": "r", "javascript": "javascript", "js": "javascript", "sql": "sql", "bash": "bash", "sh": "bash", "shell": "bash", "yaml": "yaml", "yml": "yaml", "json": "json"}
 # Words that indicate a language.
 INDICATORS = {
@@ -52,7 +58,9 @@ INDICATORS = {
 }
 # Names and endings of files that are read in a repository.
 FILE_NAMES = [r"README(?:\.md|\.rst)?", r"requirements\.txt", r"pyproject\.toml", r"setup\.py", r"environment\.yml", "Dockerfile", "Makefile"]
-FILE_ENDINGS = "ipynb py r rmd rmarkdown sas sps do ado jl m sql sh bash c cpp cc h hpp java scala f f90 f95 tex md yaml yml".split()
+FILE_ENDINGS = [
+    "ipynb", "py", "r", "rmd", "rmarkdown", "sas", "sps", "do", "ado", "jl", "m", "sql", "sh", "bash", "c", "cpp", "cc", "h", "hpp", "java", "scala", "f", "f90", "f95", "tex", "md", "yaml", "yml",
+]
 
 
 _PLACES = [("kind", T.StringType()), ("language", T.StringType()), ("content", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType())]
@@ -74,10 +82,10 @@ def language_by_counts(code: Column, hint: Column | None = None) -> Column:
 
 
 def language_by_patterns(code: Column, hint: Column | None = None) -> Column:
-    """STR15: by hint, else the first language of which two patterns occur, else json if it parses, else other."""
-    c = F.when(F.try_parse_json(code).isNotNull() & F.trim(code).rlike(r"^[\[{]"), "json").otherwise(F.lit("other"))
-    for name, k in reversed(SHORT_PATTERNS.items()):
-        hits = sum((F.when(code.rlike("(?i)" + p), 1).otherwise(0) for p in LANGUAGE_PATTERNS[name][:k]), F.lit(0))
+    """STR15: by hint, else the first language of which two patterns occur, else json if it is an object that parses, else other."""
+    c = F.when(F.try_parse_json(code).isNotNull() & F.trim(code).rlike(r"(?s)^\{.*\}$"), "json").otherwise(F.lit("other"))
+    for name, patterns in reversed(SHORT_PATTERNS.items()):
+        hits = sum((F.when(code.rlike(p), 1).otherwise(0) for p in patterns), F.lit(0))
         c = F.when(hits >= 2, name).otherwise(c)
     if hint is not None:
         known = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])

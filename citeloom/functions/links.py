@@ -17,9 +17,8 @@ LINK_CLASSES = {
     "academic_resource": ["doi.org", "arxiv.org", "pubmed.ncbi.nlm.nih.gov", "scholar.google.com", "researchgate.net"],
     "tool": ["api", "tool", "software", "app", "service"],
 }
-# Ends and schemes of addresses that are refused.
-REFUSED_ENDS = ["exe", "dll", "so", "dylib", "bin", "app"]
-REFUSED_SCHEMES = ["javascript", "data", "vbscript"]
+# Patterns of addresses that are refused, wherever they match: bare owner pages, programs, scripts.
+REFUSED = [r"(?i)https?://(?:www\.)?github\.com/[^/\s]*$", r"(?i)\.(?:exe|dll|so|dylib|bin|app)$", r"(?i)(?:javascript:|data:|vbscript:)"]
 # Kinds of repository addresses, in order of precedence; groups owner, repo, then the kind's own.
 REPO_PATTERNS = [
     ("issue_pr", r"(?i)https?://(?:www\.)?github\.com/([a-zA-Z0-9._-]+)/([a-zA-Z0-9._-]+)/(?:issues|pull)/(\d+)"),
@@ -54,8 +53,10 @@ LINK_ROW = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.St
 
 
 def valid_url(url: Column) -> Column:
-    """FIL23: has a scheme and a host, is no bare owner page, no program file and no script."""
-    refused = F.lower(url).rlike(rf"(?:github\.com/[^/\s]*/?$)|(?:\.(?:{'|'.join(REFUSED_ENDS)})$)|(?:^(?:{'|'.join(REFUSED_SCHEMES)}):)")
+    """FIL23: has a scheme and a host, is no bare owner page, no program file, and holds no script."""
+    refused = F.lit(False)
+    for pattern in REFUSED:
+        refused = refused | url.rlike(pattern)
     return F.coalesce(~refused & F.try_parse_url(url, F.lit("PROTOCOL")).isNotNull() & F.try_parse_url(url, F.lit("AUTHORITY")).isNotNull(), F.lit(False))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 # Patterns that name datasets in prose, and two datasets that are put together.
 NAME_PATTERNS = [r'"([^"]{3,50})"', r"\b([A-Z][A-Z0-9\s]{2,30})\b", r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+Dataset)\b", r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+Database)\b"]
-PAIR_PATTERNS = [r"(?i)(\w+(?:\s+\w+)*)\s+(?:integration|fusion|combination)\s+(?:with|of)\s+(\w+(?:\s+\w+)*)", r"(?i)(\w+(?:\s+\w+)*)\s+plus\s+(\w+(?:\s+\w+)*)"]
+PAIR_PATTERNS = [r"(?i)(\w+(?:\s+\w+)*)\s+(?:and|with|combined with|merged with|joined with)\s+(\w+(?:\s+\w+)*)", r"(?i)(\w+(?:\s+\w+)*)\s+(?:integration|fusion|combination)\s+(?:with|of)\s+(\w+(?:\s+\w+)*)", r"(?i)(\w+(?:\s+\w+)*)\s+plus\s+(\w+(?:\s+\w+)*)"]
 
 
 def envelope(response: Column) -> Column:
@@ -110,7 +110,8 @@ def names_in_prose(response: Column, least: int = 3) -> Column:
 
 
 def pairs_in_prose(response: Column) -> Column:
-    """STR24: (dataset1, dataset2), the first two words of either side."""
+    """STR24: (dataset1, dataset2), the first two words of either side; longer than two characters and different regardless of case."""
     two = lambda s: F.array_join(F.slice(F.split(F.trim(s), r"\s+"), 1, 2), " ")
     parts = [F.arrays_zip(F.regexp_extract_all(response, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(response, F.lit(p), F.lit(2)).alias("b")) for p in PAIR_PATTERNS]
-    return F.concat(*[F.transform(p, lambda x: F.struct(two(x["a"]).alias("dataset1"), two(x["b"]).alias("dataset2"))) for p in parts])
+    found = F.concat(*[F.transform(p, lambda x: F.struct(two(x["a"]).alias("dataset1"), two(x["b"]).alias("dataset2"))) for p in parts])
+    return F.filter(found, lambda x: (F.length(x["dataset1"]) > 2) & (F.length(x["dataset2"]) > 2) & (F.lower(x["dataset1"]) != F.lower(x["dataset2"])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.shred import plain_json_column
+
 ITEM = "array<struct<name:string,confidence:double,context:string,section:string,page_number:int>>"
 JOIN = "array<struct<dataset1:string,dataset2:string,join_type:string,confidence:double,description:string>>"
 DATASETS = f"struct<validated_datasets:{ITEM},newly_discovered_datasets:{ITEM},dataset_joins:{JOIN}>"
@@ -23,9 +25,11 @@ def distinct_texts(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull() & (x != ""))))
 
 
-def as_datasets(json: Column) -> Column:
-    """The dataset part of an analysis from its JSON; nulls where it is none."""
-    return F.from_json(json, DATASETS)
+def opened(analyses: DataFrame) -> DataFrame:
+    """With ``_plain``: the object in ``dataset_analysis``, however it is wrapped or encoded, and ``_d``: its
+    arrays of objects, of which a lone one counts as one; nulls where there is none."""
+    plain = analyses.withColumn("_plain", plain_json_column("dataset_analysis", ["validated_datasets", "newly_discovered_datasets", "dataset_joins"]))
+    return plain.withColumn("_d", F.from_json("_plain", DATASETS))
 
 
 def dataset_part(a: Column) -> Column:
@@ -71,7 +75,8 @@ def overall_confidence(datasets: Column, joins: Column, relevances: Column) -> C
 def denormalised(analyses: DataFrame) -> DataFrame:
     """PRJ15-18, PRJ21, PRJ22: one flat search row per analysis with ``analysis_id, publication_metadata, dataset_analysis`` (JSON)."""
     m = F.col("publication_metadata")
-    rows = analyses.withColumn("_d", dataset_part(as_datasets(F.col("dataset_analysis"))))
+    rows = opened(analyses)
+    rows = rows.withColumn("_d", dataset_part(F.col("_d")))
     text = lambda c: F.coalesce(c, F.lit(""))
     people = F.array_join(F.coalesce(m["authors"], F.array().cast("array<string>")), ", ")
     rows = rows.select(

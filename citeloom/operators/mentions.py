@@ -24,8 +24,8 @@ def find_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
 
     All terms are looked for at once by one automaton per task, in one pass over the
     text and without a shuffle. ``terms`` has ``dataset_id, identifier``; it is
-    checked to be under ``MOST_TERMS``. Beyond, :func:`find_terms_joined` joins
-    words instead. Terms under ``least`` characters are left out; null and empty
+    checked to be under ``MOST_TERMS``; for longer lists :func:`find_terms_joined`
+    finds the same without holding them. Terms under ``least`` characters are left out; null and empty
     texts have none; overlapping occurrences all count.
     """
     rows = terms.where(F.length("identifier") >= least).select("dataset_id", F.lower("identifier").alias("term")).distinct().limit(MOST_TERMS + 1).collect()
@@ -59,14 +59,31 @@ def find_terms(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, term string, dataset_id string, start int, context string")
 
 
-def find_terms_joined(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3) -> DataFrame:
-    """JOI18 for any number of terms: ``key, term, dataset_id`` where a term occurs: its first word is joined to the text's words, then checked."""
+def find_terms_joined(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3, shards: int = 64) -> DataFrame:
+    """JOI18 for any number of terms: ``key, term, dataset_id`` where a term occurs, as :func:`find_terms` finds it.
+
+    Terms are cut into ``shards`` by their hash. Of each term its first ``least``
+    characters, which a text that holds the term holds too, are joined to the
+    distinct stretches of that length in each text; a pair is kept where the whole
+    term occurs. Only texts and terms that share such a stretch meet; common
+    stretches are salted by text, and terms of one stretch go together as an array.
+    """
     t = terms.where(F.length("identifier") >= least).select("dataset_id", F.lower("identifier").alias("term")).distinct()
-    t = t.withColumn("word", F.regexp_extract("term", r"(?U)\w+", 0)).where("word <> ''")
+    t = t.withColumn("gram", F.substring("term", 1, least)).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)))
+    grouped = t.groupBy("gram", "shard").agg(F.collect_list(F.struct("term", "dataset_id")).alias("held"))
     low = docs.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("low"))
-    words = low.select(key, F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
-    pairs = words.join(t, "word").select(key, "term", "dataset_id")
-    return pairs.join(low, key).where(F.contains("low", F.col("term"))).select(key, "term", "dataset_id").distinct()
+    kind = docs.schema[key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [sorted({t[i : i + least] for i in range(len(t) - least + 1)}) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.string()))], names=[key, "grams"])
+
+    known = t.select("gram").distinct()
+    asked = low.mapInArrow(cut, f"`{key}` {kind}, grams array<string>").select(key, F.explode("grams").alias("gram")).join(known, "gram", "left_semi")
+    pairs = asked.join(grouped, "gram").select(key, "held")
+    met = pairs.join(low, key).select(key, F.inline(F.filter("held", lambda x: F.contains(F.col("low"), x["term"]))))
+    return met.select(key, "term", "dataset_id").distinct()
 
 
 def fuzzy_words(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", least: int = 80) -> DataFrame:

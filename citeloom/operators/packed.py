@@ -65,7 +65,7 @@ class PackedGrammar:
     def _items(self, s: str) -> list[Item]:
         out, i, n = [], 0, len(s)
         last = {close: s.rfind(close) for close in QUOTES.values()}  # beyond it no quote of that kind can end
-        unclosed: set[str] = set()  # brackets that are known never to close from here on
+        ends: dict[int, int | None] = {}  # where the bracket at a place closes, as far as that is known
         while True:
             i = self._blank(s, i)
             got = self._quoted(s, i, last)
@@ -73,7 +73,7 @@ class PackedGrammar:
             if got is None:
                 if i < n and s[i] in QUOTES and s[i] != "'":
                     error = UNCLOSED_QUOTE
-                value, i, bad = self._bare(s, i, unclosed)
+                value, i, bad = self._bare(s, i, ends)
                 error = error or bad
             else:
                 value, i = got
@@ -114,7 +114,7 @@ class PackedGrammar:
                 return None
             return "".join([*parts, s[at:end]]), after
 
-    def _bare(self, s: str, i: int, unclosed: set[str]) -> tuple[str, int, str]:
+    def _bare(self, s: str, i: int, ends: dict[int, int | None]) -> tuple[str, int, str]:
         start, error = i, OK
         while True:
             m = self.bare_end.search(s, i)
@@ -123,31 +123,38 @@ class PackedGrammar:
             ch = m.group()
             if m.lastgroup == "whole":
                 i = m.end()
-            elif ch in BRACKETS and ch not in unclosed:
-                end = self._bracketed(s, m.start())
+            elif ch in BRACKETS:
+                end = self._bracketed(s, m.start(), ends)
                 if end is None:
-                    unclosed.add(ch)
-                    error = UNCLOSED_BRACKET
-                    i = m.start() + 1
+                    error, i = UNCLOSED_BRACKET, m.start() + 1
                 else:
                     i = end
-            elif ch in BRACKETS or ch in BRACKETS.values():
+            elif ch in BRACKETS.values():
                 error, i = UNCLOSED_BRACKET, m.start() + 1
             else:
                 return s[start : m.start()], m.start(), error
 
-    def _bracketed(self, s: str, i: int) -> int | None:
-        """The end of the bracket that opens at ``i``; None if it is never closed."""
-        stack = [BRACKETS[s[i]]]
+    def _bracketed(self, s: str, i: int, ends: dict[int, int | None]) -> int | None:
+        """The end of the bracket that opens at ``i``; None if it is never closed.
+
+        A scan that comes to the end of the text has seen all later brackets too;
+        what it finds of them is kept in ``ends``, so a text is scanned twice at most.
+        """
+        if i in ends:
+            return ends[i]
+        stack = [(i, BRACKETS[s[i]])]
         for m in _BRACKET.finditer(s, i + 1):
             ch = m.group()
             if ch in BRACKETS:
-                stack.append(BRACKETS[ch])
-            elif ch in stack:  # inner brackets that were never closed end with the outer one
-                while stack.pop() != ch:
-                    pass
+                stack.append((m.start(), BRACKETS[ch]))
+            elif any(ch == close for _, close in stack):  # inner brackets that were never closed end with the outer one
+                at, close = stack.pop()
+                while close != ch:
+                    at, close = stack.pop()
+                ends[at] = m.end()
                 if not stack:
                     return m.end()
+        ends |= {at: None for at, _ in stack}
         return None
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.operators.analyses import DATASETS, as_datasets
+from citeloom.operators.analyses import DATASETS, LINK, REPO, SNIPPET, opened
 
 ISSUE = "array<struct<type:string,severity:string,field:string>>"
 # What an issue costs by its severity, where each section's completeness counts, and cuts of the level.
@@ -34,7 +34,7 @@ def blank(c: Column) -> Column:
 
 def completeness_issues() -> Column:
     """DQC03, DQC04, DQC14: what an analysis lacks."""
-    m, d = F.col("publication_metadata"), as_datasets(F.col("dataset_analysis"))
+    m, d = F.col("publication_metadata"), F.col("_d")
     none = (F.coalesce(F.size(d["validated_datasets"]), F.lit(0)) <= 0) & (F.coalesce(F.size(d["newly_discovered_datasets"]), F.lit(0)) <= 0)
     return collected(
         rule(blank(F.col("publication_id")), "missing_field", "critical", "publication_id"), rule(blank(F.col("workflow_id")), "missing_field", "critical", "workflow_id"),
@@ -46,8 +46,8 @@ def completeness_issues() -> Column:
 
 def consistency_issues() -> Column:
     """DQC02, DQC05: parts that contradict each other."""
-    d = as_datasets(F.col("dataset_analysis"))
-    total = F.get_json_object("dataset_analysis", "$.summary.total_validated_datasets").try_cast("int")
+    d = F.col("_d")
+    total = F.get_json_object("_plain", "$.summary.total_validated_datasets").try_cast("int")
     return collected(
         rule(F.col("publication_id") != F.col("publication_metadata.publication_id"), "publication_mismatch", "error", "publication_id"),
         rule((total != F.size(d["validated_datasets"])) & (F.size(d["validated_datasets"]) >= 0), "dataset_count_mismatch", "warning", "summary"),
@@ -57,7 +57,7 @@ def consistency_issues() -> Column:
 
 def logical_issues() -> Column:
     """DQC01, DQC06: values that can't be."""
-    d = as_datasets(F.col("dataset_analysis"))
+    d = F.col("_d")
     out = lambda c: F.coalesce(F.exists(c, lambda x: ~x["confidence"].between(0.0, 1.0)), F.lit(False))
     itself = F.coalesce(F.exists(d["dataset_joins"], lambda j: F.lower(F.trim(j["dataset1"])) == F.lower(F.trim(j["dataset2"]))), F.lit(False))
     return collected(
@@ -70,7 +70,7 @@ def logical_issues() -> Column:
 def snippet_issues(snippets: Column) -> Column:
     """DQC07, DQC10: of an array of snippets ``content, language, relevance_score``."""
     per = F.transform(snippets, lambda s: F.array_compact(F.array(
-        rule(F.length(F.coalesce(s["content"], F.lit(""))) < 10, "short_code", "warning", "content"), rule(blank(s["language"]), "missing_language", "info", "language"),
+        rule(F.length(F.trim(F.coalesce(s["content"], F.lit("")))) < 10, "short_code", "warning", "content"), rule(blank(s["language"]), "missing_language", "warning", "language"),
         rule(~s["relevance_score"].between(0, 10), "score_range", "error", "relevance_score"))))
     return F.coalesce(F.flatten(per), F.array().cast(ISSUE))
 
@@ -78,15 +78,15 @@ def snippet_issues(snippets: Column) -> Column:
 def link_issues(links: Column, repos: Column) -> Column:
     """DQC08, DQC11: of arrays of links ``url, relevance_score`` and repositories ``url, owner, repository``."""
     a = F.transform(links, lambda x: F.array_compact(F.array(rule(~F.coalesce(x["url"].rlike("^https?://"), F.lit(False)), "bad_url", "error", "url"), rule(~x["relevance_score"].between(0, 10), "score_range", "error", "relevance_score"))))
-    b = F.transform(repos, lambda x: F.array_compact(F.array(rule(~F.coalesce(F.contains(x["url"], F.lit("github.com")), F.lit(False)), "bad_repository", "error", "url"), rule(blank(x["owner"]) | blank(x["repository"]), "missing_field", "error", "owner"))))
+    b = F.transform(repos, lambda x: F.array_compact(F.array(rule(~F.coalesce(F.contains(x["url"], F.lit("github.com")), F.lit(False)), "bad_repository", "error", "url"), rule(blank(x["owner"]) | blank(x["repository"]), "missing_field", "warning", "owner"))))
     none = F.array().cast(ISSUE)
     return F.concat(F.coalesce(F.flatten(a), none), F.coalesce(F.flatten(b), none))
 
 
 def reference_issues(analyses: DataFrame, catalogue: DataFrame) -> DataFrame:
     """JOI23: ``analysis_id, name`` of validated datasets that the catalogue's names lack."""
-    d = as_datasets(F.col("dataset_analysis"))
-    names = analyses.select("analysis_id", F.explode(F.transform(d["validated_datasets"], lambda x: x["name"])).alias("name")).where("name is not null").distinct()
+    d = F.col("_d")
+    names = opened(analyses).select("analysis_id", F.explode(F.transform(d["validated_datasets"], lambda x: x["name"])).alias("name")).where("name is not null").distinct()
     known = catalogue.select(F.lower("dataset_name").alias("known")).distinct()
     return names.join(known, F.lower("name") == F.col("known"), "left_anti")
 
@@ -124,15 +124,21 @@ def level(total: Column, issues: Column) -> Column:
 
 
 def assessed(analyses: DataFrame) -> DataFrame:
-    """DQC09, PRJ32: ``analysis_id``, counts of issues by severity, three scores and the level."""
-    issues = F.concat(completeness_issues(), consistency_issues(), logical_issues())
+    """DQC09, PRJ32: ``analysis_id``, counts of issues by severity, three scores and the level.
+
+    Snippets, links and repositories are judged where ``analyses`` has columns ``code_snippets``,
+    ``external_links`` or ``repositories`` (arrays of objects as in :mod:`analyses`); a section without any counts 0.
+    """
+    has = {c: F.col(c) if c in analyses.columns else F.lit(None).cast(kind) for c, kind in (("code_snippets", SNIPPET), ("external_links", LINK), ("repositories", REPO))}
+    issues = F.concat(completeness_issues(), consistency_issues(), logical_issues(), snippet_issues(has["code_snippets"]), link_issues(has["external_links"], has["repositories"]))
     m = F.col("publication_metadata")
     total = completeness({
         "publication": filled([m["publication_id"], m["title"], m["authors"], m["abstract"], m["publication_date"], m["journal"], m["doi"]]),
-        "dataset": filled([as_datasets(F.col("dataset_analysis"))[p] for p in ("validated_datasets", "newly_discovered_datasets", "dataset_joins")]),
+        "code": filled([has["code_snippets"]]), "link": filled([has["external_links"], has["repositories"]]),
+        "dataset": filled([F.col("_d")[p] for p in ("validated_datasets", "newly_discovered_datasets", "dataset_joins")]),
         "workflow": filled([F.col("workflow_id"), F.col("workflow_status"), F.col("analysis_timestamp")]),
     })
-    rows = analyses.withColumn("issues", issues).withColumn("completeness", F.round(total, 6))
+    rows = opened(analyses).withColumn("issues", issues).withColumn("completeness", F.round(total, 6))
     count = lambda s: F.size(F.filter("issues", lambda i: i["severity"] == s)).alias(f"n_{s}")
     return rows.select("analysis_id", *[count(s) for s in CONSISTENCY_COST], "completeness", score(F.col("issues"), CONSISTENCY_COST, ["consistency", "mismatch"]).alias("consistency"), score(F.col("issues"), LOGICAL_COST, ["logical", "inconsistency"]).alias("logic"), level(F.col("completeness"), F.col("issues")).alias("level"))
 

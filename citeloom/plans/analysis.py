@@ -13,7 +13,7 @@ from citeloom.functions import html, links, responses, scores, text
 from citeloom.operators import analyses, extraction, fulltext, quality, relationships, store
 from citeloom.operators.versions import latest_version
 from citeloom.plans import workflow
-from citeloom.plans.records import valid_analyses
+from citeloom.plans.records import OPENED, valid_analyses
 from citeloom.sources.session import materialise, shared_dir
 from citeloom.sources.tables import table
 from citeloom.streaming import sync
@@ -266,9 +266,9 @@ _LIVE = r"""
 live AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(analysis_id, E' \t\n\r')) ORDER BY updated_at DESC NULLS LAST) AS rn FROM analyses WHERE trim(analysis_id, E' \t\n\r') <> '')
   WHERE rn = 1 AND deleted_at IS NULL)"""
-_ITEMS = """
-parts AS (SELECT analysis_id, p.part, json_extract(dataset_analysis, '$.' || p.part) AS v FROM live, (VALUES ('validated_datasets'), ('newly_discovered_datasets'), ('dataset_joins')) AS p(part) WHERE json_valid(dataset_analysis) AND json_type(dataset_analysis) = 'OBJECT'),
-lists AS (SELECT analysis_id, part, CAST(v AS JSON[]) AS l FROM parts WHERE json_type(v) = 'ARRAY'),
+_ITEMS = f"""
+{OPENED},
+lists AS (SELECT analysis_id, path AS part, CASE json_type(v) WHEN 'ARRAY' THEN list_filter(CAST(v AS JSON[]), lambda e: json_type(e) = 'OBJECT') ELSE [v] END AS l FROM opened WHERE json_type(v) IN ('ARRAY', 'OBJECT')),
 items AS (SELECT analysis_id, part, x FROM (SELECT analysis_id, part, unnest(l) AS x FROM lists) WHERE json_type(x) = 'OBJECT')"""
 _N = 9
 _URLS = f"""
@@ -296,7 +296,7 @@ ORACLE = {
       o AS (SELECT analysis_id, bool_or(part = 'validated_datasets' AND CAST(x ->> '$.confidence' AS DOUBLE) NOT BETWEEN 0 AND 1) AS ov, bool_or(part = 'newly_discovered_datasets' AND CAST(x ->> '$.confidence' AS DOUBLE) NOT BETWEEN 0 AND 1) AS onew,
         bool_or(part = 'dataset_joins' AND lower(trim(x ->> '$.dataset1')) = lower(trim(x ->> '$.dataset2'))) AS itself FROM items GROUP BY 1),
       b AS (SELECT live.*, publication_metadata AS m, nv, nn, coalesce(parts, 0) AS parts, coalesce(ov, false) AS ov, coalesce(onew, false) AS onew, coalesce(itself, false) AS itself,
-        CASE WHEN json_valid(dataset_analysis) AND json_type(dataset_analysis) = 'OBJECT' THEN TRY_CAST(json_extract_string(dataset_analysis, '$.summary.total_validated_datasets') AS INTEGER) END AS stated FROM live LEFT JOIN z USING (analysis_id) LEFT JOIN o USING (analysis_id)),
+        CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN TRY_CAST(json_extract_string(j, '$.summary.total_validated_datasets') AS INTEGER) END AS stated FROM live LEFT JOIN z USING (analysis_id) LEFT JOIN o USING (analysis_id) LEFT JOIN o6 USING (analysis_id)),
       r AS (SELECT *, coalesce(publication_id <> m.publication_id, false) AS other, coalesce(stated <> nv, false) AS miscounted, coalesce(workflow_status NOT IN ('pending', 'in_progress', 'completed', 'failed'), false) AS odd,
         analysis_timestamp IS NOT NULL AND TRY_CAST(replace(analysis_timestamp, 'Z', '+00:00') AS TIMESTAMPTZ) IS NULL AS badtime, workflow_status = 'completed' AND dataset_analysis IS NULL AS unfinished FROM b),
       c AS (SELECT analysis_id, CAST(coalesce(trim(publication_id), '') = '' AS INTEGER) + CAST(coalesce(trim(workflow_id), '') = '' AS INTEGER) + CAST(coalesce(trim(analysis_timestamp), '') = '' AS INTEGER) + CAST(m IS NULL AS INTEGER) + CAST(coalesce(trim(dataset_analysis), '') = '' AS INTEGER) AS n_critical,

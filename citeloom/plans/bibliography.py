@@ -331,7 +331,7 @@ ORACLE = {
     "q17_triage": f"""WITH {_FEATURES}, h AS (SELECT *, 5.0 + least(numbers / 10, 4.0) AS base FROM g)
       SELECT * EXCLUDE (base), round_even(least(greatest(CAST(base AS DOUBLE) + (CASE WHEN analysis_words >= 3 THEN 0.5 ELSE 0 END) + (CASE WHEN statistics >= 2 THEN 0.5 ELSE 0 END) + (CASE WHEN has_methods AND has_results THEN 0.3 ELSE 0 END) - (CASE WHEN analysis_words + dataset_words + method_words < 2 THEN 1.0 ELSE 0 END), 0.0), 10.0), 2) AS confidence, analysis_words > 0 AND base >= 6 AS is_data_analysis FROM h""",
     "q18_terms": f"WITH {_TERMS} SELECT DISTINCT doc_id, term, dataset_id FROM documents JOIN terms ON contains(lower(text), term)",
-    "q18_terms_joined": f"WITH {_TERMS} SELECT DISTINCT doc_id, term, dataset_id FROM documents JOIN terms ON contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^a-z0-9_])' || split_part(term, ' ', 1) || '($|[^a-z0-9_])')",
+    "q18_terms_joined": f"WITH {_TERMS} SELECT DISTINCT doc_id, term, dataset_id FROM documents JOIN terms ON contains(lower(text), term)",
     "q23_relationships": f"WITH {_REL} SELECT relationship_id, publication_id, relationship_type, confidence, strength, complexity, n_issues FROM rel",
     "q23_statistics": f"""WITH {_REL} SELECT CASE WHEN grouping(relationship_type) = 0 THEN 'type' WHEN grouping(complexity) = 0 THEN 'complexity' ELSE 'total' END AS "by", coalesce(CASE WHEN grouping(relationship_type) = 0 THEN relationship_type END, CASE WHEN grouping(complexity) = 0 THEN complexity END) AS value, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM rel GROUP BY GROUPING SETS ((relationship_type), (complexity), ())""",
     "q30_exact": """WITH a AS (SELECT DISTINCT alias FROM data_dyads WHERE alias IS NOT NULL), i AS (SELECT dataset_id, dataset_name AS x, 0 AS pos FROM seed_datasets UNION ALL SELECT dataset_id, trim(unnest(string_split(aliases, ';'))), 1 FROM seed_datasets)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.orphans import orphan_references, orphan_report
 from citeloom.operators.packed import split_packed
-from citeloom.operators.shred import flat_table, shred_columns, shred_json
+from citeloom.operators.shred import flat_table, pivoted, shred_columns, shred_json
 from citeloom.operators.versions import latest_version
 from citeloom.sources.session import materialise
 from citeloom.sources.tables import norm_key, table
@@ -25,17 +27,42 @@ def valid_analyses(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
     return latest_version(table(spark, d, "analyses"), norm_key(F.col("analysis_id")), F.col("updated_at"), ["analysis_id", "deleted_at", *keep])
 
 
+#: The leaves of each table that publications and analyses are cut into.
+TABLES = {
+    "authors": ["id", "name", "orcid"], "authors.institutions": ["id", "name", "city", "country_code", "ror_id"], "journals": ["id", "name", "issn"],
+    "mentioned_datasets": ["id", "name", "is_validated_mention", "confidence_score", "group_id"],
+    "dataset_analysis.validated_datasets": ["name", "confidence", "context"], "dataset_analysis.newly_discovered_datasets": ["name", "confidence", "context"], "dataset_analysis.dataset_joins": ["dataset1", "dataset2", "join_type", "confidence"],
+}
+
+
 def record_groups(spark: SparkSession, d: str) -> DataFrame:
     """Group rows of every nested part of valid publications and live analyses."""
     pubs = shred_columns(valid_publications(spark, d, PUBLICATION_ARRAYS), "id", PUBLICATION_ARRAYS)
     live = valid_analyses(spark, d, ["dataset_analysis"]).where(F.col("deleted_at").isNull())
-    return pubs.unionByName(shred_json(live, "analysis_id", "dataset_analysis", ANALYSIS_ARRAYS))
+    return pubs.unionByName(shred_json(live, "analysis_id", "dataset_analysis", ANALYSIS_ARRAYS, [p for p in TABLES if p.startswith("dataset_analysis")]))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    g = record_groups(spark, d).where(F.col("path").isin(*PUBLICATION_ARRAYS, "authors.institutions", *[f"dataset_analysis.{a}" for a in ANALYSIS_ARRAYS]))
-    deep = F.col("path") == "authors.institutions"
-    return g.select("record_key", "path", F.col("ords")[0].alias("pos"), F.when(deep, F.try_element_at("ords", F.lit(2))).otherwise(F.lit(-1)).alias("subpos"))
+    """The keys of all seven tables."""
+    rows = pivoted(record_groups(spark, d).where("kind = 'object'"), TABLES)
+    deep = F.size("parent_ords") > 0
+    return rows.select("record_key", "path", F.when(deep, F.try_element_at("parent_ords", F.lit(1))).otherwise(F.col("pos")).alias("pos"), F.when(deep, F.col("pos")).otherwise(F.lit(-1)).alias("subpos"))
+
+
+def _publication_table(path: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return flat_table(shred_columns(valid_publications(spark, d, [path]), "id", [path]), path, TABLES[path]).drop("parent_ords")
+
+    return run
+
+
+def _analysis_table(path: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        live = valid_analyses(spark, d, ["dataset_analysis"]).where(F.col("deleted_at").isNull())
+        rows = flat_table(shred_json(live, "analysis_id", "dataset_analysis", ANALYSIS_ARRAYS, [path]).where("kind = 'object'"), path, TABLES[path])
+        return rows.drop("parent_ords").withColumn("confidence", F.round(F.col("confidence").try_cast("double"), 9))
+
+    return run
 
 
 def p1_institutions(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +127,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(orphan_references(refs, parents), refs)
 
 
-QUERIES = {"p1_found": p1_found, "p1_institutions": p1_institutions, "p3_found": p3_found, "p3_values": p3_values, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {
+    "p1_found": p1_found, "p1_institutions": p1_institutions, "p1_authors": _publication_table("authors"), "p1_journals": _publication_table("journals"), "p1_mentions": _publication_table("mentioned_datasets"),
+    "p1_validated": _analysis_table("dataset_analysis.validated_datasets"), "p1_discovered": _analysis_table("dataset_analysis.newly_discovered_datasets"), "p1_joins": _analysis_table("dataset_analysis.dataset_joins"),
+    "p3_found": p3_found, "p3_values": p3_values, "p6_found": p6_found, "p6_report": p6_report,
+}
 
 # -- the same in SQL ---------------------------------------------------------------
 
@@ -126,12 +157,15 @@ def _open(n: int) -> str:
     ELSE j END AS j FROM o{n - 1})"""
 
 
-_P1 = f"""
-WITH {_PUBS}, {_ANALYSES},
+#: Elements of the arrays in dataset_analysis, opened.
+OPENED = f"""
 o0 AS (SELECT analysis_id, dataset_analysis AS j FROM live), {", ".join(_open(n) for n in range(1, 7))},
 parts AS (SELECT analysis_id, p.path, json_extract(j, '$.' || p.path) AS v FROM o6, (VALUES ('validated_datasets'), ('newly_discovered_datasets'), ('dataset_joins')) AS p(path) WHERE j IS NOT NULL AND json_valid(j) AND json_type(j) = 'OBJECT'),
 opened AS (SELECT analysis_id, path, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v ->> '$') THEN CAST(v ->> '$' AS JSON) ELSE v END AS v FROM parts WHERE v IS NOT NULL),
-listed AS (SELECT analysis_id, path, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] ELSE [] END AS l FROM opened),
+listed AS (SELECT analysis_id, path, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] ELSE [] END AS l FROM opened)"""
+
+_P1 = f"""
+WITH {_PUBS}, {_ANALYSES}, {OPENED},
 au AS (SELECT id, unnest(authors) AS a, generate_subscripts(authors, 1) - 1 AS i FROM pubs),
 ins AS (SELECT id, i, unnest(a.institutions) AS x, generate_subscripts(a.institutions, 1) - 1 AS k FROM au),
 jo AS (SELECT id, unnest(journals) AS x, generate_subscripts(journals, 1) - 1 AS i FROM pubs),
@@ -165,8 +199,22 @@ parents AS (
   UNION SELECT 'analyses.publication_metadata', lower(trim(id, E' \t\n\r')) FROM publications),
 orphans AS (SELECT * FROM refs WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.field = refs.field AND p.k = refs.ref_key))"""
 
+
+
+def _table_sql(path: str, types: dict[str, str]) -> str:
+    fields = ", ".join(f"{types.get(x, f'x.{x}')} AS {x}" for x in TABLES[path])
+    return f"WITH {_PUBS}, t AS (SELECT id AS record_key, unnest({path}) AS x, generate_subscripts({path}, 1) - 1 AS i FROM pubs) SELECT record_key, CAST(i AS INTEGER) AS pos, {fields} FROM t WHERE x IS NOT NULL"
+
+
+def _json_table_sql(part: str) -> str:
+    fields = ", ".join("round(TRY_CAST(x ->> '$.confidence' AS DOUBLE), 9) AS confidence" if x == "confidence" else f"x ->> '$.{x}' AS {x}" for x in TABLES[f"dataset_analysis.{part}"])
+    return f"WITH {_ANALYSES}, {OPENED}, t AS (SELECT analysis_id AS record_key, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM listed WHERE path = '{part}') SELECT record_key, CAST(i AS INTEGER) AS pos, {fields} FROM t WHERE json_type(x) = 'OBJECT'"
+
+
 ORACLE = {
     "p1_found": _P1,
+    "p1_authors": _table_sql("authors", {}), "p1_journals": _table_sql("journals", {}), "p1_mentions": _table_sql("mentioned_datasets", {"is_validated_mention": "CAST(x.is_validated_mention AS VARCHAR)", "confidence_score": "CAST(x.confidence_score AS VARCHAR)"}),
+    "p1_validated": _json_table_sql("validated_datasets"), "p1_discovered": _json_table_sql("newly_discovered_datasets"), "p1_joins": _json_table_sql("dataset_joins"),
     "p1_institutions": _P1_INST,
     "p6_found": _P6_REFS + " SELECT DISTINCT field, row_key, ref_key FROM orphans",
     "p6_report": _P6_REFS

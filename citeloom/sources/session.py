@@ -29,9 +29,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is set."""
+    """The checkpoint folder of the session; where none is set, a temporary one, but only on a local master."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = tempfile.mkdtemp(prefix="citeloom-")
         spark.sparkContext.setCheckpointDir(given)
         spark.conf.set("spark.checkpoint.dir", given)

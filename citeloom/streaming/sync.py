@@ -80,11 +80,7 @@ class Sync:
     def apply(self, batch: DataFrame, n: int) -> None:
         """One batch: newest row of each key is upserted if it isn't older than the served one."""
         ok = F.coalesce(self.valid, F.lit(False))
-        good, bad = self.transform(batch.where(ok)), batch.where(~ok)
-        old = self.served.read()
-        if old is not None and self.at in good.columns:
-            newer = old.select(self.key, F.col(self.at).alias("_old"))
-            good = good.join(newer, self.key, "left").where(F.col("_old").isNull() | (F.col(self.at) >= F.col("_old"))).drop("_old")
+        good, bad = self._newer(self.transform(batch.where(ok))), batch.where(~ok)
         n_good, n_bad = good.count(), bad.count()
         if n_good:
             self.served.upsert(good, self.at)
@@ -94,6 +90,14 @@ class Sync:
         entry = self.spark.createDataFrame([(n, n_good, n_bad)], "batch long, n_served long, n_failed long").withColumn("status", F.when(F.col("n_failed") == 0, "success").when(F.col("n_served") > 0, "partial").otherwise("failed"))
         entry.write.mode("append").parquet(self.log)
 
+    def _newer(self, rows: DataFrame) -> DataFrame:
+        """Without rows older than the served row of their key."""
+        old = self.served.read()
+        if old is None or self.at not in rows.columns:
+            return rows
+        served = old.select(self.key, F.col(self.at).alias("_old"))
+        return rows.join(served, self.key, "left").where(F.col("_old").isNull() | (F.col(self.at) >= F.col("_old"))).drop("_old")
+
     def run(self, path: str, schema: T.StructType, source: str = "parquet", files_per_batch: int = 1000) -> None:
         """STM10, SRC20: everything that came since the last run, then stop."""
         stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(source).load(path)
@@ -101,7 +105,8 @@ class Sync:
         query.awaitTermination()
 
     def retry(self, again: Callable[[DataFrame], DataFrame], schema: T.StructType) -> tuple[int, int]:
-        """STM14: dead letters of under five attempts once more: (now served, failed again). ``again`` mends rows."""
+        """STM14: dead letters of under five attempts once more: (now good, failed again). ``again`` mends rows;
+        one that is older than the served row of its key is done with, but isn't served."""
         dead = self.dead.read()
         if dead is None:
             return 0, 0
@@ -109,8 +114,9 @@ class Sync:
         ok = F.coalesce(self.valid, F.lit(False))
         good = tried.where(ok)
         n = good.count()
-        if n:
-            self.served.upsert(self.transform(good.drop("_dead")), self.at)
+        newer = self._newer(self.transform(good.drop("_dead")))
+        if n and not newer.isEmpty():
+            self.served.upsert(newer, self.at)
         left = dead.join(good.select(F.col("_dead").alias(self.key)).distinct(), self.key, "left_anti").withColumn("attempts", F.when(F.col("attempts") < MOST_ATTEMPTS, F.col("attempts") + 1).otherwise(F.col("attempts")))
         failed = left.count()
         self.dead.write(left)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.people import Name, given_forms, institution_words, parse_name
-from citeloom.llm.resolve import edit_distance
+from citeloom.llm.resolve import edit_distance, neighbourhood
 from citeloom.operators.packed import ID_DELIMITER, PackedGrammar, orcid_value
 from citeloom.operators.versions import latest_version
 from citeloom.sources.session import materialise
@@ -67,19 +67,6 @@ def bound(word: str, strong: bool) -> int:
     return 0 if len(word) < 4 else 2 if strong and len(word) > 5 else 1
 
 
-def neighbourhood(word: str, most: int) -> set[str]:
-    """What is left of a word without up to ``most`` of its letters, itself too.
-
-    Two words within ``most`` edits share one at least: a letter put in is left out
-    of one word, one replaced or swapped with its neighbour of both.
-    """
-    out = level = {word}
-    for _ in range(most):
-        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
-        out = out | level
-    return out
-
-
 def near_words(words: DataFrame) -> DataFrame:
     """(place, word, near): all pairs of words of a place within the bound of ``word``, each with itself.
 

@@ -1,7 +1,8 @@
 """Mapping freely entered names to a canonical list.
 
 Token-level repair: every distinct token is joined to the words of the reference
-list by edit distance (also as an abbreviation, glued or broken word), and the
+list by edit distance (also as an abbreviation, glued or broken word): tokens and
+words meet where they share a form with letters left out, or first letters. The
 corrected tokens rank whole entries by soft TF-IDF. An entry is meant if all its
 words are found; a name that lacks a word but has no other one may mean it; a name
 in which one word is altogether another means none.
@@ -10,11 +11,13 @@ in which one word is altogether another means none.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -79,12 +82,27 @@ def _is_subsequence(short: str, word: str) -> bool:
     return all(c in it for c in short)
 
 
+def neighbourhood(word: str, most: int) -> set[str]:
+    """What is left of a word without up to ``most`` of its letters, itself too.
+
+    Two words within ``most`` edits share one at least: a letter put in is left out
+    of one word, one replaced or swapped with its neighbour of both.
+    """
+    out = level = {word}
+    for _ in range(most):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return out
+
+
 @dataclass
 class Vocabulary:
     """The words of the reference names, their entries and weights; as large as the reference list."""
 
     entries: dict[str, tuple[str, ...]]
     acronyms: dict[str, set[str]]
+    fillers: frozenset[str] = FILLERS
+    short_forms: dict[str, str] = field(default_factory=lambda: dict(SHORT_FORMS))
     by_word: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))
     idf: dict[str, float] = field(default_factory=dict)
 
@@ -95,90 +113,183 @@ class Vocabulary:
         n = max(1, len(self.entries))
         self.idf = {w: math.log(1 + n / len(es)) for w, es in self.by_word.items()}
         self.words = sorted(self.by_word)
-        self.masks = [(w, _letters(w)) for w in self.words]
-        self.direct: dict[str, list[tuple[str, float]]] = {}
+        self.lengths = (min(map(len, self.words), default=0), max(map(len, self.words), default=0))
 
     @classmethod
-    def of(cls, rows: list[tuple[str, str, str | None]]) -> Vocabulary:
+    def of(cls, rows: list[tuple[str, str, str | None]], fillers: frozenset[str] = FILLERS, short_forms: dict[str, str] | None = None) -> Vocabulary:
         """From (id, name, '; '-separated aliases)."""
         entries, acronyms = {}, defaultdict(set)
         for e, name, aliases in rows:
             if not e or not name:
                 continue
-            entries[e] = tuple(dict.fromkeys(t for t in tokens_of(re.sub(r"\([^)]*\)", " ", name)) if t not in FILLERS))
+            entries[e] = tuple(dict.fromkeys(t for t in tokens_of(re.sub(r"\([^)]*\)", " ", name)) if t not in fillers))
             for a in [*re.findall(r"\(([^)]*)\)", name), *(aliases or "").split(";")]:
                 t = tokens_of(a)
                 if len(t) == 1 and t[0] not in entries[e] and len(t[0]) > 2:
                     acronyms[t[0]].add(e)
-        return cls(entries, dict(acronyms))
-
-    def repair(self, token: str) -> list[tuple[str, float]]:
-        """Reference words that a unit may stand for, with similarity; several words joined by a blank for a glued token."""
-        if token[:1] == "+":  # a word broken in two; anything looser would be chance
-            t = token[1:].translate(LOOKALIKES)
-            return [(t, 1.0)] if t in self.by_word else self._near(t, 1)
-        if token in self.by_word:
-            return [(token, 1.0)]
-        if token.isdigit():
-            return []
-        if token in FILLERS:  # may still begin a word, or stand for one with its initial
-            return [(w, 0.5 if len(token) == 1 else 0.6) for w in self.words if w.startswith(token) and (len(token) != 2)]
-        if token in SHORT_FORMS and SHORT_FORMS[token] in self.by_word:
-            return [(SHORT_FORMS[token], 0.9)]
-        t = token.translate(LOOKALIKES)
-        if len(t) == 1:
-            return [(w, 0.5) for w in self.words if w[0] == t]
-        out = dict(self._near(t, 2))
-        for w in self.words:
-            if t[0] == w[0] and len(t) < len(w):
-                if w.startswith(t):
-                    out[w] = max(out.get(w, 0), 0.72 + 0.2 * len(t) / len(w))
-                elif _is_subsequence(t, w) or len(t) > 3 and t[-1] == "s" and _is_subsequence(t[:-1], w):
-                    out[w] = max(out.get(w, 0), 0.6 + 0.25 * len(t) / len(w))
-        if max(out.values(), default=0) < 0.8 and len(t) > 6:
-            for w in self.words:  # glued: one word as it is, the other one nearly
-                for rest, first in ((t[len(w) :], True),) * t.startswith(w) + ((t[: -len(w)], False),) * t.endswith(w):
-                    near = [(rest, 1.0)] if rest in self.by_word else self._near(rest, 2)
-                    short = [] if near or len(rest) < 3 else [(v, 0.8) for v in self.words if v[0] == rest[0] and _is_subsequence(rest, v)]
-                    for v, sim in [*near, *short]:
-                        out[f"{w} {v}" if first else f"{v} {w}"] = 0.98 if sim == 1 else 0.88 if near else 0.8
-        return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+        return cls(entries, dict(acronyms), fillers, dict(SHORT_FORMS if short_forms is None else short_forms))
 
     def is_plain(self, token: str) -> bool:
         """Whether a token needs no repair: a reference word, a filler or a number."""
-        return token in self.by_word or token in FILLERS or token.isdigit()
+        return token in self.by_word or token in self.fillers or token.isdigit()
 
     def plain(self, token: str) -> list[tuple[str, float]]:
-        """What a token that needs no repair stands for, remembered."""
-        got = self.direct.get(token)
-        if got is None:
-            got = self.repair(token)
-            if len(self.direct) < 100_000:
-                self.direct[token] = got
-        return got
+        """What a token that needs no repair stands for; a filler may still begin a word, or stand for one with its initial."""
+        if token in self.by_word:
+            return [(token, 1.0)]
+        if token.isdigit() or len(token) == 2:
+            return []
+        first = bisect_left(self.words, token)
+        return [(w, 0.5 if len(token) == 1 else 0.6) for w in itertools.takewhile(lambda w: w.startswith(token), itertools.islice(self.words, first, None))]
 
     def to_repair(self, tokens: list[str]) -> set[str]:
         """The units of a name that have to be joined to the reference words."""
         plain = [self.is_plain(t) for t in tokens]
         return {u for at, u in units(tokens) if not all(plain[i] for i in at)}
 
-    def _near(self, t: str, most: int) -> list[tuple[str, float]]:
-        """Words within ``most`` edits, fewer for short ones. An edit changes at most two of the letters that occur."""
-        out, mask = [], _letters(t)
-        for w, m in self.masks:
-            d = min(most, 2 if len(w) > 4 and len(t) > 3 else 1)
-            if abs(len(w) - len(t)) <= d and (mask ^ m).bit_count() <= 2 * d and (len(t) > 3 or len(w) == 4):
-                n = edit_distance(t, w, d)
-                if n <= d:
-                    out.append((w, 1 - n / (len(w) + 1)))
-        return out
 
+# -- the join of units to reference words: what they may share, and what it is worth ------
+#
+# Keys begin with what they are: E a form with letters left out (edits), S the first
+# letters of an abbreviation, W a known short form, P and Q a whole word that begins
+# or ends a glued one.
+
+
+def word_keys(word: str) -> list[str]:
+    """The keys by which a unit finds a reference word."""
+    starts = {word[0], *(word[0] + a for a in word[1:]), *(word[0] + a + b for i, a in enumerate(word[1:], 1) for b in word[i + 1 :])}
+    return ["W" + word, "P" + word, "Q" + word, *("E" + f for f in neighbourhood(word, 2 if len(word) > 4 else 1)), *("S" + x for x in starts)]
+
+
+def _plain_letters(unit: str) -> str:
+    return unit.lstrip("+").translate(LOOKALIKES)
+
+
+def unit_keys(unit: str, vocab: Vocabulary) -> list[str]:
+    """The keys of a unit; only forms are left out that no reference word is long or short enough for."""
+    low, high = vocab.lengths
+    t = _plain_letters(unit)
+    if unit[:1] == "+":  # a word broken in two; anything looser would be chance
+        return ["E" + f for f in neighbourhood(t, 1 if len(t) > 2 else 0)] if low - 1 <= len(t) <= high + 1 else []
+    if unit in vocab.short_forms and vocab.short_forms[unit] in vocab.by_word:
+        return ["W" + vocab.short_forms[unit]]
+    keys = _word_like(t, vocab) + (["S" + t[:3]] if t else [])
+    if len(t) > 6:
+        for n in range(low, min(high, len(t) - 1) + 1):
+            keys += ["P" + t[:n], "Q" + t[-n:]]
+    return keys
+
+
+def _word_like(t: str, vocab: Vocabulary) -> list[str]:
+    low, high = vocab.lengths
+    most = 2 if len(t) > 3 else 1 if len(t) == 3 else 0
+    return ["E" + f for f in neighbourhood(t, most)] if low - most <= len(t) <= high + most else []
+
+
+def rest_keys(rest: str, vocab: Vocabulary) -> list[str]:
+    """The keys of what is left of a glued unit."""
+    return _word_like(rest, vocab) + (["S" + rest[:3]] if len(rest) > 2 else [])
+
+
+def _near(t: str, words: Iterable[str], most: int) -> list[tuple[str, float]]:
+    """Words within ``most`` edits, fewer for short ones, with similarity."""
+    out = []
+    for w in words:
+        d = min(most, 2 if len(w) > 4 and len(t) > 3 else 1)
+        if abs(len(w) - len(t)) <= d and (len(t) > 3 or len(w) == 4):
+            n = edit_distance(t, w, d)
+            if n <= d:
+                out.append((w, 1 - n / (len(w) + 1)))
+    return out
+
+
+def _of_kind(candidates: Iterable[str], kind: str) -> list[str]:
+    return [c[1:] for c in candidates if c[0] == kind]
+
+
+def unit_words(unit: str, candidates: list[str]) -> tuple[list[tuple[str, float]], list[tuple[str, str, bool]]]:
+    """Of a unit and the words it shares keys with (each after its kind): what it may stand
+    for, with similarity; and (word, what is left, whether the word comes first) if it may be glued."""
+    t = _plain_letters(unit)
+    near = _of_kind(candidates, "E")
+    if unit[:1] == "+":
+        return [(t, 1.0)] if t in near else _near(t, near, 1), []
+    if known := _of_kind(candidates, "W"):
+        return [(w, 0.9) for w in known], []
+    short = _of_kind(candidates, "S")
+    if len(t) == 1:
+        return [(w, 0.5) for w in short if w[0] == t], []
+    out = dict(_near(t, near, 2))
+    for w in short:
+        if t[0] == w[0] and len(t) < len(w):
+            if w.startswith(t):
+                out[w] = max(out.get(w, 0), 0.72 + 0.2 * len(t) / len(w))
+            elif _is_subsequence(t, w) or len(t) > 3 and t[-1] == "s" and _is_subsequence(t[:-1], w):
+                out[w] = max(out.get(w, 0), 0.6 + 0.25 * len(t) / len(w))
+    glued = []
+    if max(out.values(), default=0) < 0.8 and len(t) > 6:
+        glued = [(w, t[len(w) :], True) for w in _of_kind(candidates, "P") if t.startswith(w)] + [(w, t[: -len(w)], False) for w in _of_kind(candidates, "Q") if t.endswith(w)]
+    return sorted(out.items()), glued
+
+
+def rest_words(rest: str, candidates: list[str]) -> list[tuple[str, float]]:
+    """What the rest of a glued unit stands for, with the similarity of the whole."""
+    near = _of_kind(candidates, "E")
+    if rest in near:
+        return [(rest, 0.98)]
+    if got := _near(rest, near, 2):
+        return [(v, 0.88) for v, _ in got]
+    return [(v, 0.8) for v in _of_kind(candidates, "S") if len(rest) > 2 and v[0] == rest[0] and _is_subsequence(rest, v)]
+
+
+def repaired_units(wanted: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``unit, words``: what each distinct ``unit`` may stand for, as 'word:similarity' joined by bars; units that stand for nothing don't come out.
+
+    A join in the plan: units meet the reference words they share a key with, and
+    only those; what is left of a glued unit is joined once more. No unit is
+    compared with all words, so time doesn't grow with the product of both.
+    """
+    spark = wanted.sparkSession
+    held = spark.createDataFrame([(w,) for w in vocab.words], "word string")
+
+    def keyed(df: DataFrame, name: str, keys: Callable[[str], list[str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([keys(x) for x in b.column(0).to_pylist()], pa.list_(pa.string()))], names=[name, "keys"])
+
+        return df.select(name).mapInArrow(run, f"{name} string, keys array<string>").select(name, F.explode("keys").alias("key"))
+
+    index = materialise(keyed(held, "word", word_keys).select("key", "word"), "word-keys")
 
-def _letters(word: str) -> int:
-    mask = 0
-    for c in word:
-        mask |= 1 << (ord(c) & 63)
-    return mask
+    def met(df: DataFrame, name: str, keys: Callable[[str], list[str]]) -> DataFrame:
+        found = keyed(df, name, keys).join(index, "key").select(name, F.concat(F.substring("key", 1, 1), "word").alias("c"))
+        return found.groupBy(name).agg(F.collect_set("c").alias("candidates"))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [unit_words(u, c) for u, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            glued = [[{"word": w, "rest": r, "first": f} for w, r, f in g] for _, g in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(w) for w, _ in got], pa.string()), pa.array(glued, pa.list_(pa.struct([("word", pa.string()), ("rest", pa.string()), ("first", pa.bool_())])))], names=["unit", "words", "glued"])
+
+    one = materialise(met(wanted, "unit", lambda u: unit_keys(u, vocab)).mapInArrow(judged, "unit string, words string, glued array<struct<word:string,rest:string,first:boolean>>"), "units")
+    glued = one.select("unit", F.inline("glued"))
+
+    def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [rest_words(r, c) for r, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"v": v, "s": s} for v, s in g] for g in got], pa.list_(pa.struct([("v", pa.string()), ("s", pa.float64())])))], names=["rest", "parts"])
+
+    said = met(glued.select("rest").distinct(), "rest", lambda r: rest_keys(r, vocab)).mapInArrow(rests, "rest string, parts array<struct<v:string,s:double>>")
+    both = glued.join(said, "rest").select("unit", "word", "first", F.inline("parts"))
+    whole = F.when(F.col("first"), F.concat_ws(" ", "word", "v")).otherwise(F.concat_ws(" ", "v", "word"))
+    best = both.groupBy("unit", whole.alias("w")).agg(F.max("s").alias("s"))
+    more = best.groupBy("unit").agg(F.array_join(F.array_sort(F.collect_list(F.concat("w", F.lit(":"), F.col("s").cast("string")))), "|").alias("more"))
+    every = one.select("unit", "words").join(more, "unit", "left").select("unit", F.concat_ws("|", F.nullif("words", F.lit("")), "more").alias("words"))
+    return every.where("words <> ''")
+
+
+def _packed(words: list[tuple[str, float]]) -> str:
+    return "|".join(f"{w}:{s!r}" for w, s in words)
 
 
 @dataclass(frozen=True)
@@ -193,10 +304,14 @@ def _assign(words: tuple[str, ...], found: dict[str, list[tuple[float, frozenset
     best = (0, 0.0, frozenset(), 0.0)
     # the most that the words from each on can add: what can't be better isn't tried
     most = [(0, 0.0)]
+    later: list[frozenset[int]] = [frozenset()]  # tokens that the words from each on can use
     for w in reversed(words):
         sims = [sim for sim, _ in found.get(w, ())]
         most.append((most[-1][0] + bool(sims), most[-1][1] + max(sims, default=0.0)))
+        later.append(later[-1].union(*(at for _, at in found.get(w, ()))))
     most.reverse()
+    later.reverse()
+    seen: dict[tuple[int, frozenset[int]], tuple[int, float]] = {}  # the best of the words before that leaves the later ones the same tokens
 
     def go(k: int, n: int, total: float, used: frozenset[int], least: float) -> None:
         nonlocal best
@@ -204,8 +319,12 @@ def _assign(words: tuple[str, ...], found: dict[str, list[tuple[float, frozenset
             if (n, total) > best[:2]:
                 best = (n, total, used, least)
             return
-        if n + most[k][0] < best[0] or n + most[k][0] == best[0] and total + most[k][1] < best[1] - 1e-9:
+        if n + most[k][0] < best[0] or n + most[k][0] == best[0] and total + most[k][1] <= best[1] + 1e-12:
             return
+        state = (k, used & later[k])
+        if state in seen and (n, total) <= seen[state]:
+            return
+        seen[state] = (n, total)
         for sim, at in found.get(words[k], ()):
             if not at & used:
                 go(k + 1, n + 1, total + sim, used | at, min(least, sim))
@@ -225,7 +344,7 @@ def judge(tokens: list[str], repaired: dict[str, list[tuple[str, float]]], vocab
                 found[w].append((sim, at if len(parts) == 1 else frozenset([(min(at) + 1) * _PARTS + k])))
     for w in found:
         found[w] = sorted(found[w], key=lambda x: -x[0])
-    content = {i for i, t in enumerate(tokens) if t not in FILLERS and not t.isdigit() and not any(c.isdigit() for c in t.translate(LOOKALIKES))}
+    content = {i for i, t in enumerate(tokens) if t not in vocab.fillers and not t.isdigit() and not any(c.isdigit() for c in t.translate(LOOKALIKES))}
     acronym: set[str] = set()
     for i, t in enumerate(tokens):
         if t in vocab.acronyms:
@@ -297,19 +416,20 @@ def _words(text: str) -> list[tuple[str, float]]:
     return [(w, float(s)) for w, _, s in (x.rpartition(":") for x in text.split("|"))]
 
 
-def resolve_names(fields: DataFrame, reference: DataFrame) -> DataFrame:
+def resolve_names(fields: DataFrame, reference: DataFrame, fillers: frozenset[str] = FILLERS, short_forms: dict[str, str] | None = None) -> DataFrame:
     """``source_table, row_key, dataset_id`` of every row of ``fields``; ``unmatched`` where no entry is meant.
 
     ``fields`` has ``source_table, row_key, text``, a row per field; null and blank
     texts say nothing, but their rows come out. ``reference`` has ``dataset_id,
     dataset_name, aliases``; it is a registry of fixed size, checked to be under
-    100,000 entries. Equal texts are judged once. Empty tables give no rows.
+    100,000 entries, which every task holds for ranking. ``fillers`` are words round
+    a name that are no part of it, ``short_forms`` such that aren't made by leaving
+    letters out. Equal texts are judged once. Empty tables give no rows.
     """
     rows = reference.select("dataset_id", "dataset_name", "aliases").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("the reference list is too large to be held by every task")
-    vocab = Vocabulary.of([tuple(r) for r in rows])
-    spark = fields.sparkSession
+    vocab = Vocabulary.of([tuple(r) for r in rows], fillers, short_forms)
 
     texts = fields.where("text is not null").select("text").distinct()
 
@@ -320,13 +440,7 @@ def resolve_names(fields: DataFrame, reference: DataFrame) -> DataFrame:
 
     cut_up = materialise(texts.mapInArrow(cut, "text string, tokens array<string>, units array<string>").withColumn("text_id", F.md5(F.encode("text", "utf-8"))), "names")
 
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(t, "|".join(f"{w}:{s!r}" for w, s in r)) for t in b.column(0).to_pylist() if (r := vocab.repair(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.string()), pa.array([r for _, r in got], pa.string())], names=["unit", "words"])
-
-    distinct = cut_up.select(F.explode("units").alias("unit")).distinct()
-    repaired = distinct.mapInArrow(repair, "unit string, words string")
+    repaired = repaired_units(cut_up.select(F.explode("units").alias("unit")).distinct(), vocab)
     used = cut_up.select("text_id", F.explode("units").alias("unit")).join(repaired, "unit").groupBy("text_id").agg(F.collect_list(F.struct("unit", "words")).alias("repaired"))
     judged_in = cut_up.select("text_id", "tokens").join(used, "text_id", "left")
 

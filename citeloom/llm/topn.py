@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.sources.session import materialise
 
 
-def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, max_heavy: int = 2000, least_heavy: int = 100_000, salts: int = 64, salt_by: str | None = None) -> DataFrame:
+def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, heavy_share: float = 0.001, salts: int = 64, salt_by: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group by ``order``.
 
     Exact group counts split the groups. Light ones go through an ordinary window.
-    Heavy ones (at least ``least_heavy`` rows and a ``1 / max_heavy`` part of all)
-    are range-sorted in salted pieces, each of which keeps its first ``n``, and the
-    pieces' survivors are ranked again; no task ever holds a whole heavy group. At
-    most ``max_heavy`` groups can be heavy, so the list of them that is broadcast
-    has a proven bound. ``df`` is read once for the counts and once or twice after:
-    give a table that is cheap to read.
+    Heavy ones (more than ``n`` rows and at least ``heavy_share`` of all rows, at
+    every size of the table) are range-sorted in salted pieces, each of which keeps
+    its first ``n``, and the pieces' survivors are ranked again; no task ever holds
+    a whole heavy group. At most 1 / ``heavy_share`` groups can be heavy, so the
+    list of them that is broadcast has a proven bound. ``df`` is read once for the
+    counts and once or twice after: give a table that is cheap to read.
 
     ``order`` must settle every tie (give a unique last column); equal rows are
     then copies and are all kept up to ``n``. Null group values form a group of
@@ -30,7 +32,7 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, max_heav
     name = "__topn_n"
     counts = materialise(df.groupBy(*group).agg(F.count(F.lit(1)).alias(name)), "group-counts")
     total = counts.agg(F.sum(name).alias("n")).first()["n"] or 0
-    least = max(least_heavy, -(-total // max_heavy))
+    least = max(n + 1, math.ceil(total * heavy_share))
     heavy = counts.where(F.col(name) >= least).select(*[F.col(g).alias(f"__topn_h_{g}") for g in group])
     w = Window.partitionBy(*group).orderBy(*order)
     if heavy.isEmpty():

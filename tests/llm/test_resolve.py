@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from citeloom.llm.resolve import FULL, NOTHING, OTHER, PARTIAL, Vocabulary, edit_distance, judge, resolve_names, tokens_of, units
+from citeloom.llm.resolve import FULL, NOTHING, OTHER, PARTIAL, Vocabulary, _words, edit_distance, judge, repaired_units, resolve_names, rest_words, tokens_of, unit_words, units
 
 SEEDS = [
     ("s1", "Municipal Literacy Greenhouse Atlas", "MLGA; Municipal Literacy Greenhouse Atlas"), ("s2", "Periurban Pesticide Poultry Tracker (PPPT)", "PPPT"), ("s3", "Northern Grocery Seed Database", "NGSD"),
@@ -9,9 +12,21 @@ SEEDS = [
 VOCAB = Vocabulary.of(SEEDS)
 
 
+def repair(vocab, unit):
+    """What a unit stands for if it is compared with every word."""
+    every = [k + w for w in vocab.words for k in "ESWPQ" if k != "W" or vocab.short_forms.get(unit) == w]
+    words, glued = unit_words(unit, every)
+    out = dict(words)
+    for w, rest, first in glued:
+        for v, s in rest_words(rest, every):
+            whole = f"{w} {v}" if first else f"{v} {w}"
+            out[whole] = max(out.get(whole, 0), s)
+    return sorted(out.items())
+
+
 def verdict(text):
     tokens = tokens_of(text)
-    return judge(tokens, {u: r for _, u in units(tokens) if (r := VOCAB.repair(u))}, VOCAB)
+    return judge(tokens, {u: r for _, u in units(tokens) if not VOCAB.is_plain(u) and (r := repair(VOCAB, u))}, VOCAB)
 
 
 @pytest.mark.parametrize(
@@ -64,11 +79,49 @@ def test_no_candidate_is_cut():
     """A short form of more than 12 words keeps the longest one; a word at more than 4 places keeps the weakest."""
     words = [f"st{c}rm" for c in "abcdefghijklmn"]
     many = Vocabulary.of([(f"e{i}", f"{w} Register", None) for i, w in enumerate(words)] + [("long", "Stratospherical Ozone Census", None)])
-    assert len(many.repair("st")) == 15 and "stratospherical" in dict(many.repair("st"))
+    assert len(repair(many, "st")) == 15 and "stratospherical" in dict(repair(many, "st"))
     tokens = tokens_of("St. Ozone Census")
-    got = judge(tokens, {u: r for u in many.to_repair(tokens) if (r := many.repair(u))}, many)
+    got = judge(tokens, {u: r for u in many.to_repair(tokens) if (r := repair(many, u))}, many)
     assert (got.kind, got.entries) == (FULL, ("long",))
     six = Vocabulary.of([("six", "wanted aone btwo cthree dfour efive", None)])
     others = ["aone", "btwo", "cthree", "dfour", "efive"]
     repaired = {f"t{w}": [(w, 0.95), ("wanted", 0.9)] for w in others} | {"tlast": [("wanted", 0.8)]}
     assert judge(list(repaired), repaired, six).kind == FULL
+
+
+def test_the_join_finds_what_comparing_with_every_word_finds(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("aeiostrn") for _ in range(n))
+    vocab = Vocabulary.of([(f"e{i}", " ".join(word(rnd.randrange(2, 11)) for _ in range(3)), None) for i in range(60)])
+
+    def bent(w):
+        w = list(w)
+        for _ in range(rnd.randrange(4)):
+            i = rnd.randrange(len(w) + 1)
+            w[i : i + rnd.randrange(3)] = rnd.choice(["", "x", "a", "0", "t"])
+        return "".join(w)
+
+    asked = {bent(w) for w in vocab.words for _ in range(4)} | {a + bent(b) for a, b in zip(vocab.words, reversed(vocab.words))} | {bent(a) + b for a, b in zip(vocab.words, reversed(vocab.words))}
+    asked |= {"".join(c for c in w if rnd.random() < 0.6) for w in vocab.words for _ in range(4)} | {"+" + bent(w) for w in vocab.words} | {w[:n] for w in vocab.words for n in (1, 2, 3)} | {"hh", "vax", "+", "+a"}
+    asked = sorted(x for x in asked if x and not vocab.is_plain(x))
+    got = {r.unit: sorted(_words(r.words)) for r in repaired_units(spark.createDataFrame([(x,) for x in asked], "unit string"), vocab).collect()}
+    expect = {x: r for x in asked if (r := repair(vocab, x))}
+    assert len(expect) > 300 and any(" " in w for r in expect.values() for w, _ in r)
+    assert got == expect
+
+
+def test_long_entries_take_no_time():
+    words = [f"word{chr(97 + i)}" for i in range(13)]
+    vocab = Vocabulary.of([("long", " ".join(words), None)])
+    tokens = [f"t{i}" for i in range(26)]
+    repaired = {t: [(w, 0.9 - 0.01 * ((i + j) % 4)) for j, w in enumerate(words) if (i + j) % 4 < 2] for i, t in enumerate(tokens)}
+    start = time.perf_counter()
+    assert judge(tokens, repaired, vocab).kind == FULL
+    assert time.perf_counter() - start < 1
+
+
+def test_word_lists_are_parameters(spark):
+    fields = spark.createDataFrame([("t", "1", "zz Coastal Hhold Wage Questionnaire"), ("t", "2", "Coastal hsld Wage Questionnaire qq")], "source_table string, row_key string, text string")
+    ref = spark.createDataFrame(SEEDS, "dataset_id string, dataset_name string, aliases string")
+    got = {r.row_key: r.dataset_id for r in resolve_names(fields, ref, fillers=frozenset(["zz", "qq"]), short_forms={"hhold": "household"}).collect()}
+    assert got == {"1": "s6", "2": "s6"}

@@ -25,7 +25,15 @@ def test_both_paths_agree_with_brute_force(spark):
     rows = [("hot" if i % 2 else f"g{i % 37}", i, None if i % 11 == 0 else i % 5, 9) for i in range(2000)]
     expect = brute(rows, 3)
     assert run(spark, rows, 3) == expect
-    assert run(spark, rows, 3, least_heavy=50, max_heavy=10, salts=4) == expect
+    assert run(spark, rows, 3, heavy_share=0.02, salts=4) == expect  # the hot group and some others
+    assert run(spark, rows, 3, heavy_share=1.0) == expect  # none is heavy
+    assert run(spark, rows, 3, heavy_share=0.0) == expect  # all are
+
+
+def test_heavy_groups_take_the_salted_path(spark):
+    rows = [("hot" if i % 2 else f"g{i % 37}", i, i % 5, 9) for i in range(2000)]
+    plan = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], [F.desc_nulls_last("s"), F.asc("k")], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__topn_salt" in plan and "Union" in plan
 
 
 def test_null_groups_copies_and_empty(spark):

@@ -8,6 +8,7 @@ joined by index.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,8 @@ from citeloom.llm.bpe import TOKENIZER_DIR, encode_corpus
 from citeloom.sources.session import materialise
 from citeloom.sources.tables import norm_key
 
-BUCKETS = 1024
-MOST_SHARDS = 4096
+BUCKET_ROWS = 50_000  # documents that share a running total
+RANGE = 65_536  # slots that are made from one row
 _ROUND = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,14 +70,14 @@ def quotas(sources: list[Source], block: int, total_tokens: int | None = None) -
 
 
 def draws(quota: dict[str, int], per_shard: int, seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, slots, first rank): multinomial draws without replacement, so totals are exact."""
+    """(shard, source, slots, first rank): a multinomial draw for each shard by what is left of each
+    source, held to what is left, so totals are exact. A shard has ``per_shard`` slots or a few less."""
     names = sorted(quota)
     left = np.array([quota[n] for n in names], dtype=np.int64)
     rng, used, out, shard = np.random.default_rng(seed), np.zeros(len(names), dtype=np.int64), [], 0
     while left.sum() > 0:
         size = int(min(per_shard, left.sum()))
-        # the exact sampler holds below 1e9 in all; beyond that the plain multinomial, held to what is left
-        got = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() < 1_000_000_000 else np.minimum(rng.multinomial(size, left / left.sum()), left)
+        got = np.minimum(rng.multinomial(size, left / left.sum()), left)
         out += [(shard, n, int(k), int(u)) for n, k, u in zip(names, got, used) if k]
         left, used, shard = left - got, used + got, shard + 1
     return out
@@ -105,45 +106,55 @@ class Mix:
     of other sources, with a null source or without tokens take no part. Targets
     without documents reach a share of 0. Empty tables give an empty mix. Equal
     target names are added up, with the larger ``max_repeats``; null shares are 0.
+    With ``counts_only`` no ids are kept: enough for :meth:`slots` and :meth:`shares`.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, block: int = 1024, total_tokens: int | None = None, seed: int = 7, vocabulary: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"):
-        self.spark, self.block, self.seed = docs.sparkSession, block, seed
+    def __init__(self, docs: DataFrame, targets: DataFrame, block: int = 1024, total_tokens: int | None = None, seed: int = 7, vocabulary: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", counts_only: bool = False, most_shards: int = 4096):
+        self.spark, self.block, self.seed, self.most_shards = docs.sparkSession, block, seed, most_shards
         self.targets = targets.select(norm_key(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("repeats")).where("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats"))
         mine = docs.select("doc_id", norm_key(F.col("source")).alias("source"), "text").join(self.targets.select("source"), "source", "left_semi")
-        bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")
-        encoded = encode_corpus(mine.withColumn("bucket", bucket), vocabulary=vocabulary).withColumn("n", F.size("ids").cast("long")).where("n > 0").withColumn("row", F.monotonically_increasing_id())
-        self.encoded = materialise(encoded, "encoded")
-        # at most BUCKETS rows a source: running totals over them give every bucket's first token
-        sums = self.encoded.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        self.starts = sums.select("source", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
-        have = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-        self.sources = [Source(r["source"], r["share"], r["repeats"], have.get(r["source"], 0), -(-have.get(r["source"], 0) // block)) for r in self.targets.collect()]
+        encoded = encode_corpus(mine, vocabulary=vocabulary, counts_only=counts_only)
+        encoded = encoded.withColumnRenamed("n_tokens", "n") if counts_only else encoded.withColumn("n", F.size("ids").cast("long"))
+        self.encoded = materialise(encoded.where("n > 0").withColumn("row", F.monotonically_increasing_id()), "encoded")
+        have = {r["source"]: (r["n"], r["rows"]) for r in self.encoded.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}  # a row per target
+        self.buckets = max(1, -(-max((rows for _, rows in have.values()), default=0) // BUCKET_ROWS))
+        self.sources = [Source(r["source"], r["share"], r["repeats"], n := have.get(r["source"], (0, 0))[0], -(-n // block)) for r in self.targets.collect()]
         self.quota = quotas(self.sources, block, total_tokens)
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.lit(self.buckets)).cast("int")
+
     def slots(self) -> DataFrame:
-        """``shard, slot, source, repeat, block, n_tokens``: which block stands where."""
+        """``shard, slot, source, repeat, block, n_tokens``: which block stands where.
+
+        The driver draws counts for ``most_shards`` shards or a few more; slots are
+        made from them in ranges of fixed length. A slot's place in its shard is a
+        pseudorandom permutation too, so nothing is sorted.
+        """
         n = sum(self.quota.values())
-        per_shard = max(64, -(-n // MOST_SHARDS))
+        per_shard = max(64, -(-n // self.most_shards))
         by_name = {s.name: s for s in self.sources}
-        rows = [(*d, by_name[d[1]].blocks, by_name[d[1]].tokens) for d in draws(self.quota, per_shard, self.seed)]
-        drawn = self.spark.createDataFrame(rows, "shard int, source string, k long, first long, blocks long, tokens long")
-        ranks = drawn.select("shard", "source", "blocks", "tokens", F.explode(F.expr("sequence(first, first + k - 1)")).alias("rank"))
-        seed = self.seed
+        rows, filled = [], Counter()
+        for shard, name, k, first in draws(self.quota, per_shard, self.seed):
+            rows.append((shard, name, k, first, filled[shard], by_name[name].blocks, by_name[name].tokens))
+            filled[shard] += k
+        rows = [(*r, filled[r[0]]) for r in rows]
+        drawn = self.spark.createDataFrame(rows, "shard int, source string, k long, first long, before long, blocks long, tokens long, size long")
+        ranges = drawn.withColumn("from", F.explode(F.expr(f"sequence(0L, k - 1, {RANGE}L)")))
+        spread = ranges.select("shard", "source", "first", "before", "blocks", "tokens", "size", F.explode(F.expr(f"sequence(from, least(from + {RANGE} - 1, k - 1))")).alias("i"))
+        seed, length = self.seed, self.block
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rank, blocks = b.column("rank").to_numpy(), b.column("blocks").to_numpy()
+                col = {c: b.column(c).to_numpy() for c in ("shard", "first", "before", "blocks", "tokens", "size", "i", "salt")}
+                rank, blocks = col["first"] + col["i"], col["blocks"]
                 repeat = rank // blocks
-                salt = b.column("salt").to_numpy()
-                index = permute(rank % blocks, blocks, (salt ^ (repeat * 1_000_003 + seed)) & 0x7FFFFFFFFFFFFFFF)
-                yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("source"), b.column("tokens"), pa.array(repeat.astype(np.int32)), pa.array(index)], names=["shard", "source", "tokens", "repeat", "block"])
+                block = permute(rank % blocks, blocks, (col["salt"] ^ (repeat * 1_000_003 + seed)) & 0x7FFFFFFFFFFFFFFF)
+                slot = permute(col["before"] + col["i"], col["size"], (col["shard"].astype(np.int64) * 0x9E3779B1 + seed) & 0x7FFFFFFFFFFFFFFF)
+                n_tokens = np.minimum(length, col["tokens"] - block * length)
+                yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(slot.astype(np.int32)), b.column("source"), pa.array(repeat.astype(np.int32)), pa.array(block), pa.array(n_tokens.astype(np.int32))], names=["shard", "slot", "source", "repeat", "block", "n_tokens"])
 
-        placed = ranks.withColumn("salt", F.xxhash64("source")).mapInArrow(place, "shard int, source string, tokens long, repeat int, block long")
-        order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "source", "repeat", "block"), "source", "repeat", "block")
-        size = F.least(F.lit(self.block).cast("long"), F.col("tokens") - F.col("block") * self.block)
-        return placed.select("shard", (F.row_number().over(order) - 1).alias("slot"), "source", "repeat", "block", size.cast("int").alias("n_tokens"))
+        return spread.withColumn("salt", F.xxhash64("source")).mapInArrow(place, "shard int, slot int, source string, repeat int, block long, n_tokens int")
 
     def blocks(self, wanted: DataFrame | None = None) -> DataFrame:
         """``source, block, doc_ids, ids``: the packed blocks, all or those in ``wanted`` (``source, block``).
@@ -152,9 +163,13 @@ class Mix:
         which documents' are needed, and then only the slices that are.
         """
         L = self.block
+        narrow = self.encoded.select("source", self._bucket().alias("bucket"), "doc_id", "row", "n")
+        # running totals over the buckets of a source give every bucket's first token
+        sums = narrow.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
+        before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
         w = Window.partitionBy("source", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-        narrow = self.encoded.select("source", "bucket", "doc_id", "row", "n")
-        at = narrow.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0))).join(self.starts, ["source", "bucket"])
+        at = narrow.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0))).join(starts, ["source", "bucket"])
         at = at.select("source", "row", "n", (F.col("start") + F.col("inner")).alias("at"))
         piece = at.withColumn("block", F.explode(F.expr(f"sequence(at div {L}, (at + n - 1) div {L})")))
         if wanted is not None:
@@ -178,10 +193,14 @@ class Mix:
         return slots.join(self.blocks(slots), ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens", "doc_ids", "ids")
 
     def shares(self) -> DataFrame:
-        """Per target source: what it has, what it got, and its share of the mix."""
-        got = self.slots().groupBy("source").agg(F.sum("n_tokens").alias("tokens_mixed"), (F.max("repeat") + 1).alias("repeats_used"))
+        """Per target source: what it has, what it got, its share of the mix, and how many of its tokens stay out of it."""
+        first = F.sum(F.when(F.col("repeat") == 0, F.col("n_tokens")))
+        got = self.slots().groupBy("source").agg(F.sum("n_tokens").alias("tokens_mixed"), (F.max("repeat") + 1).alias("repeats_used"), first.alias("tokens_used"))
         have = self.spark.createDataFrame([(s.name, s.share, s.repeats, s.tokens) for s in self.sources], "source string, target_share double, max_repeats int, tokens_available long")
-        both = have.join(got, "source", "left").fillna(0, ["tokens_mixed", "repeats_used"])
+        both = have.join(got, "source", "left").fillna(0, ["tokens_mixed", "repeats_used", "tokens_used"])
         # few rows: one per target
         total = F.sum("tokens_mixed").over(Window.partitionBy(F.lit(0)))
-        return both.select("source", "target_share", "max_repeats", "tokens_available", "tokens_mixed", "repeats_used", F.when(total > 0, F.col("tokens_mixed") / total).otherwise(F.lit(0.0)).alias("actual_share"))
+        return both.select(
+            "source", "target_share", "max_repeats", "tokens_available", "tokens_mixed", "repeats_used", (F.col("tokens_available") - F.col("tokens_used")).alias("tokens_left_out"),
+            F.when(total > 0, F.col("tokens_mixed") / total).otherwise(F.lit(0.0)).alias("actual_share"),
+        )

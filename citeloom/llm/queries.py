@@ -97,7 +97,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+    return Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), counts_only=True).shares()
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -32,6 +32,16 @@ def test_draws_add_up():
     assert all(f2 == f1 + k1 for (f1, k1), (f2, _) in zip(firsts, firsts[1:]))
 
 
+def test_draws_behave_alike_at_any_size():
+    quota = {"a": 30_000_000_000, "b": 9_000_000_000, "c": 3}
+    d = draws(quota, 10_000_000, 1)
+    assert {n: sum(k for _, m, k, _ in d if m == n) for n in quota} == quota
+    sizes = {}
+    for shard, _, k, _ in d:
+        sizes[shard] = sizes.get(shard, 0) + k
+    assert max(sizes.values()) == 10_000_000 and len(sizes) < 3905
+
+
 def test_mix(spark):
     docs = [(i, f"word{i} " * 40, "Big " if i % 2 else "big", 0) for i in range(200)] + [(1000 + i, "small text here " * 20, "SMALL", 0) for i in range(5)]
     docs += [(5000, None, "big", 0), (5001, "", "big", 0), (5002, "x", None, 0), (5003, "x", "elsewhere", 0)]
@@ -49,6 +59,11 @@ def test_mix(spark):
     assert share["absent"].actual_share == 0.0
     assert abs(share["big"].actual_share - 2 / 3) < 0.05 and abs(share["small"].actual_share - 1 / 3) < 0.05
     assert share["big"].tokens_mixed == sum(r.n_tokens for r in rows if r.source == "big")
+    used = {(r.source, r.block): r.n_tokens for r in rows}
+    assert all(share[x].tokens_left_out == share[x].tokens_available - sum(n for (s, _), n in used.items() if s == x) for x in ("big", "small", "absent"))
+    counted = Mix(spark.createDataFrame(docs, "doc_id long, text string, source string, n_tokens int"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), block=32, vocabulary=PATH, counts_only=True)
+    assert sorted(counted.shares().collect()) == sorted(share.values())
+    assert all({r.slot for r in rows if r.shard == s} == set(range(sum(r.shard == s for r in rows))) for s in {r.shard for r in rows})
     again = {(r.shard, r.slot): r.ids for r in mix.records().collect()}
     assert again == {(r.shard, r.slot): r.ids for r in rows}
 

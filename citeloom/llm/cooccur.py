@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.sources.session import materialise
 
-BLOCK = 65_536
+MOST_HELD = 2_000_000  # pairs that a task holds before it gives out their counts
 
 
 def _pair_counts(heavy_codes: int) -> object:
@@ -49,9 +50,13 @@ def _pair_counts(heavy_codes: int) -> object:
                 items, at = items[back], at[back]
                 cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 for s, e in zip(cuts, [*cuts[1:], len(at)]):  # rare with rare: hash counts
-                    if e - s > 1:
-                        rare.update(combinations(sorted(items[s:e].tolist()), 2))
-            if len(mixed) * heavy_codes > 8_000_000 or len(rare) > 2_000_000:
+                    mine = np.sort(items[s:e])
+                    for i in range(len(mine) - 1):  # item by item, so that a wide record is never held as all its pairs
+                        rare.update(zip(repeat(int(mine[i])), mine[i + 1 :].tolist()))
+                        if len(rare) > MOST_HELD:
+                            yield from out(np.zeros((0, 0), dtype=np.int64), {}, rare)
+                            rare = Counter()
+            if len(mixed) * heavy_codes > 4 * MOST_HELD:
                 yield from out(dense, mixed, rare)
                 dense[:], mixed, rare = 0, {}, Counter()
         yield from out(dense, mixed, rare)
@@ -81,25 +86,27 @@ def cooccurring_pairs(members: DataFrame, record: str, item: str, least_count: i
     ``least_share`` N and n12 N >= ``least_lift`` n1 n2.
 
     Items in fewer records than n12 must reach are left out first: no pair of
-    theirs can qualify. At most M / (N ``least_share``) of M members' items remain,
-    a bound that doesn't grow with the data. The ``heavy_items`` most frequent get
-    rows of a bit matrix, the rest lists and hash counts; pairs are counted where
-    the records lie and only partial counts are shuffled. No members: no pairs.
+    theirs can qualify. At most M / (N ``least_share``) of M members' items remain;
+    they stay a table, of which only the ``heavy_items`` most frequent come to the
+    driver. Those get rows of a bit matrix, the rest lists and hash counts; pairs
+    are counted where the records lie, a bounded number held at a time, and only
+    partial counts are shuffled. No members: no pairs.
     """
     sets = materialise(members.select(F.col(record).alias("record"), F.col(item).alias("item")).where("record is not null and item is not null").distinct(), "members")
     total = sets.agg(F.countDistinct("record").alias("n")).first()["n"]
     floor = max(least_count, -(-total * least_share // 1)) if total else least_count
-    counts = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(floor))
-    # bounded: see above. Codes are ranks by frequency, so that codes below heavy_items are the frequent ones.
-    listed = counts.orderBy(F.desc("n"), "item").select("item", "n").toPandas()
-    if listed.empty:
-        schema = f"item_1 {sets.schema['item'].dataType.simpleString()}, item_2 {sets.schema['item'].dataType.simpleString()}, n1 long, n2 long, n12 long, lift double"
-        return members.sparkSession.createDataFrame([], schema)
-    listed["code"] = range(len(listed))
-    codes = members.sparkSession.createDataFrame(listed)
+    counts = materialise(sets.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(floor)), "items")
+    kind = sets.schema["item"].dataType
+    # the frequent items, never more than `heavy_items`, are numbered by rank; the others in any order after them
+    top = [(i, code) for code, (i,) in enumerate(counts.orderBy(F.desc("n"), "item").select("item").limit(heavy_items).collect())]
+    if not top:
+        name = kind.simpleString()
+        return members.sparkSession.createDataFrame([], f"item_1 {name}, item_2 {name}, n1 long, n2 long, n12 long, lift double")
+    ranked = members.sparkSession.createDataFrame(top, T.StructType([T.StructField("item", kind), T.StructField("rank", T.LongType())]))
+    codes = materialise(counts.join(F.broadcast(ranked), "item", "left").select("item", "n", F.coalesce("rank", F.monotonically_increasing_id() + heavy_items).alias("code")), "codes")
     coded = sets.join(codes.select("item", "code"), "item").groupBy("record").agg(F.collect_list("code").alias("codes"))
     coded = coded.where(F.size("codes") > 1).select("codes")
-    pairs = coded.mapInArrow(_pair_counts(min(heavy_items, len(listed))), "a long, b long, n12 long").groupBy("a", "b").agg(F.sum("n12").alias("n12"))
+    pairs = coded.mapInArrow(_pair_counts(len(top)), "a long, b long, n12 long").groupBy("a", "b").agg(F.sum("n12").alias("n12"))
     one = codes.select(F.col("code").alias("a"), F.col("item").alias("x"), F.col("n").alias("nx"))
     two = codes.select(F.col("code").alias("b"), F.col("item").alias("y"), F.col("n").alias("ny"))
     found = pairs.where(F.col("n12") >= int(floor)).join(one, "a").join(two, "b").where(F.col("n12") * F.lit(total) >= F.lit(least_lift) * F.col("nx") * F.col("ny"))

@@ -2,6 +2,9 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
+
+from citeloom.llm import cooccur
 from citeloom.llm.cooccur import cooccurring_pairs
 
 
@@ -37,3 +40,16 @@ def test_empty_and_lonely(spark):
     assert cooccurring_pairs(spark.createDataFrame([], "record string, item string"), "record", "item").count() == 0
     df = spark.createDataFrame([(str(i), "x") for i in range(9)], "record string, item string")
     assert cooccurring_pairs(df, "record", "item").count() == 0
+
+
+def test_a_wide_record_is_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(cooccur, "MOST_HELD", 100)
+    codes = [list(range(1, 60)), list(range(1, 60, 2))]  # all rare but none of the frequent one
+    parts = list(cooccur._pair_counts(1)(iter([pa.RecordBatch.from_arrays([pa.array(codes, pa.list_(pa.int64()))], names=["codes"])])))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) < 200
+    total = Counter()
+    for p in parts:
+        for a, b, n in zip(*[c.to_pylist() for c in p.columns]):
+            total[a, b] += n
+    expect = Counter(x for c in codes for x in combinations(c, 2))
+    assert total == expect

@@ -7,14 +7,17 @@ sure to hold all partners of a stretch, and an automaton is built for each:
 
 1. Every stretch of ``least`` characters names an anchor: the inner ``GRAM``
    characters with the smallest hash. Equal stretches name equal anchors, so only
-   anchors that two documents have can lie in a shared stretch.
-2. The texts round such an anchor, as far as its stretches reach, are the anchor's
-   reference shard. Equal texts become one, marked with the documents it has.
+   anchors that two documents have can lie in a shared stretch. The text round an
+   anchor, as far as its stretches reach, is its window; only places and a hash of
+   the window leave the task that reads the text.
+2. The windows round an anchor are its reference shard. Equal ones are one, marked
+   with the documents it has; a shard of one window is shared as a whole, and no
+   text of it is ever moved. Of other shards each window's text is fetched once.
 3. The shard's texts are cut to what agrees with some other text round the anchor
    and put into one suffix automaton whose states know whether they occur in more
    than one document. Streaming a text through it gives at each place the longest
    match with another document; matches of ``least`` or more are its shared spans.
-4. Shards of many different texts are split by stretch instead of going to a task.
+4. Shards of many different windows are split by stretch instead of going to a task.
 
 Nothing is sampled: the anchors only decide where a stretch is compared.
 """
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +75,17 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - step : w - step + n])
 
 
-def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, anchor hash, its place, first and last stretch that names it), of texts of ``least`` or more characters."""
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def window_hash(text: str) -> int:
+    """The hash of a window, as :func:`anchors` gives it."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(_code_points(text))).astype(np.int64))
+
+
+def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, anchor hash, its place, first and last stretch that names it, hash of the window), of texts of ``least`` or more characters."""
     parts: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, np.ndarray]] = []  # text, place of the piece in it, characters
 
@@ -92,14 +105,16 @@ def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray,
         last = np.r_[first[1:], len(starts)] - 1
         o = o[first]
         shift = np.array([at for _, at, _ in held])[o] - (ends - [len(c) for _, _, c in held])[o]
-        parts.append((np.array([t for t, _, _ in held])[o], h[p[first]].view(np.int64), p[first] + shift, starts[first] + shift, starts[last] + shift))
+        raw, a, b = memoryview(chars).cast("B"), (starts[first] * 4).tolist(), ((starts[last] + least) * 4).tolist()
+        windows = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(a, b)), np.uint64, len(a))
+        parts.append((np.array([t for t, _, _ in held])[o], h[p[first]].view(np.int64), p[first] + shift, starts[first] + shift, starts[last] + shift, windows.view(np.int64)))
         held.clear()
 
     size = 0
     for t, text in enumerate(texts):
         if len(text) < least:
             continue
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = _code_points(text)
         for at in range(0, len(chars) - least + 1, CHUNK):
             piece = chars[at : at + CHUNK + least - 1]
             if size + len(piece) > 2 * CHUNK:
@@ -110,8 +125,8 @@ def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray,
     flush()
     if not parts:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))  # type: ignore[return-value]
+        return z, z, z, z, z, z
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(6))  # type: ignore[return-value]
 
 
 class SharedAutomaton:
@@ -224,13 +239,14 @@ def merged_runs(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_run", run).groupBy("doc_id", "_run").agg(F.min("a").alias("span_start"), F.max("b").alias("span_end")).drop("_run")
 
 
-def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 128) -> DataFrame:
+def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 512) -> DataFrame:
     """``doc_id, span_start, span_end`` of every maximal run of shared characters.
 
-    Code points of whole texts are compared exactly. Null, empty and shorter texts
-    have no spans; a text's repetition within itself is none; rows with the same
-    ``doc_id`` are one document. Shards of more than ``shard_texts`` different
-    texts take the split path. ``least`` is between ``GRAM`` and 4095.
+    Code points of whole texts are compared exactly; windows of one anchor are told
+    apart by 64 bits more. Null, empty and shorter texts have no spans; a text's
+    repetition within itself is none; rows with the same ``doc_id`` are one
+    document. Shards of more than ``shard_texts`` different windows take the split
+    path. ``least`` is between ``GRAM`` and 4095.
     """
     if not GRAM <= least < 4096:
         raise ValueError(f"least must lie between {GRAM} and 4095")
@@ -239,65 +255,81 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 128) -> D
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, h, at, first, last = anchors(b.column(1).to_pylist(), least)
+            t, h, at, first, last, win = anchors(b.column(1).to_pylist(), least)
             # one number for the three places: the later two lie within `least` of the first stretch
             place = (first << 24) | ((at - first) << 12) | (last - first)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(h), pa.array(place)], names=["doc_id", "anchor", "place"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(h), pa.array(place), pa.array(win)], names=["doc_id", "anchor", "place", "win"])
 
-    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long"), "anchors")
+    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long, win long"), "anchors")
     several = named.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    hits = named.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("hits"))
-    hits = materialise(hits, "hits")
+    hits = materialise(named.join(several, "anchor", "left_semi"), "hits")
+    stats = hits.groupBy("anchor").agg((F.min("win") == F.max("win")).alias("alike"))
+    hits = hits.join(stats, "anchor")
+    first, length = F.shiftright("place", 24), F.col("place").bitwiseAND(0xFFF) + least
+    alike = hits.where("alike").select("doc_id", first.alias("a"), (first + length).alias("b"))
+
+    mixed = materialise(hits.where("not alike").select("doc_id", "anchor", "win", "place"), "mixed")
+    one = mixed.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "place")).alias("rep"))
+    wanted = materialise(one.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "win", "rep.place", "lo", "hi")).alias("wanted")), "wanted")
     # a table of its own, so that Spark knows its size: few ids go to every task and the
     # other texts are never shuffled; many are joined by the partitions the next join needs
-    hit_docs = materialise(hits.select("doc_id"), "hit-docs")
+    wanted_docs = materialise(wanted.select("doc_id"), "wanted-docs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, text, hs in zip(*[c.to_pylist() for c in b.columns]):
-                for x in hs:
-                    first = x["place"] >> 24
-                    rows.append((d, x["anchor"], x["place"] >> 12 & 0xFFF, first, text[first : first + (x["place"] & 0xFFF) + least]))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string())], names=["doc_id", "anchor", "at", "first", "text"])
-
-    parts = texts.join(hit_docs, "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(cut, "doc_id long, anchor long, at int, first int, text string")
-    # 64 bits within an anchor of 64 bits
-    parts = materialise(parts.withColumn("text_id", F.xxhash64("text")), "windows")
-    one = parts.groupBy("anchor", "text_id").agg(F.first("text").alias("text"), F.first("at").alias("at"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    one = materialise(one, "texts")
-    large = materialise(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_texts).select("anchor"), "large")
-    light, heavy = one.join(large, "anchor", "left_anti"), one.join(large, "anchor", "left_semi")
-    shards = light.groupBy("anchor").agg(F.collect_list(F.struct("text_id", "text", "at", "lo", "hi")).alias("texts"))
+            for text, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in ws:
+                    start = x["place"] >> 24
+                    window = text[start : start + (x["place"] & 0xFFF) + least]
+                    if window_hash(window) == x["win"]:  # not so in another text with the same doc_id
+                        rows.append((x["anchor"], x["win"], x["place"] >> 12 & 0xFFF, x["lo"], x["hi"], window))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "win", "at", "lo", "hi", "text"])
+
+    asked = texts.join(wanted_docs, "doc_id", "left_semi").join(wanted, "doc_id").select("text", "wanted")
+    windows = materialise(asked.mapInArrow(cut, "anchor long, win long, at int, lo long, hi long, text string"), "windows")
+    large = materialise(windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_texts).select("anchor"), "large")
+    light, heavy = windows.join(large, "anchor", "left_anti"), windows.join(large, "anchor", "left_semi")
+    shards = light.groupBy("anchor").agg(F.collect_list(F.struct("win", "text", "at", "lo", "hi")).alias("texts"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, int, int, int]] = []
             for anchor, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.sort(key=lambda x: x["text_id"])
+                held = sorted({x["win"]: x for x in held}.values(), key=lambda x: x["win"])
                 for x, spans in zip(held, shard_spans([(x["text"], x["at"], x["lo"], x["hi"]) for x in held], least)):
-                    out += [(anchor, x["text_id"], a, e) for a, e in spans]
+                    out += [(anchor, x["win"], a, e) for a, e in spans]
             cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["anchor", "text_id", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["anchor", "win", "a", "b"])
 
-    schema = "anchor long, text_id long, a int, b int"
-    found = shards.mapInArrow(match, schema)
+    found = shards.mapInArrow(match, "anchor long, win long, a int, b int")
     # split path: a shared stretch reaches this far beyond the anchor on one side at least,
-    # so texts that share no such side with another document are out before anything is split
+    # so windows that share no such side with another document are out before anything is split
     reach = -(-(least - GRAM) // 2)
     left = F.when(F.col("at") >= reach, F.xxhash64(F.lit("L"), F.expr(f"substring(text, at - {reach} + 1, {reach})")))
     right = F.when(F.length("text") >= F.col("at") + GRAM + reach, F.xxhash64(F.lit("R"), F.expr(f"substring(text, at + {GRAM} + 1, {reach})")))
-    sides = heavy.select("anchor", "text_id", "lo", "hi", F.explode(F.array(left, right)).alias("side")).where("side is not null")
+    sides = heavy.select("anchor", "win", "lo", "hi", F.explode(F.array(left, right)).alias("side")).where("side is not null")
     met = sides.groupBy("anchor", "side").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x < y").select("anchor", "side")
-    heavy = heavy.join(sides.join(met, ["anchor", "side"], "left_semi").select("anchor", "text_id").distinct(), ["anchor", "text_id"], "left_semi")
+    heavy = heavy.join(sides.join(met, ["anchor", "side"], "left_semi").select("anchor", "win").distinct(), ["anchor", "win"], "left_semi")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                raw = memoryview(_code_points(r["text"])).cast("B")
+                n = len(r["text"]) - least + 1
+                grams = np.fromiter((xxhash.xxh3_64_intdigest(raw[4 * i : 4 * (i + least)]) for i in range(n)), np.uint64, n).view(np.int64)
+                same = [pa.array(np.full(n, r[c], dtype=np.int64)) for c in ("anchor", "win", "lo", "hi")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(grams)], names=["anchor", "win", "lo", "hi", "a", "gram"])
+
     # then a row per stretch, counted like any other key
-    grams = heavy.select("anchor", "text_id", "lo", "hi", "text", F.explode(F.expr(f"sequence(0, length(text) - {least})")).alias("a"))
-    grams = grams.select("anchor", "text_id", "lo", "hi", "a", F.md5(F.encode(F.expr(f"substring(text, a + 1, {least})"), "utf-8")).alias("gram"))
+    grams = heavy.select("anchor", "win", "lo", "hi", "text").mapInArrow(stretches, "anchor long, win long, lo long, hi long, a int, gram long")
     common = grams.groupBy("anchor", "gram").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x < y").select("anchor", "gram")
-    split = grams.join(common, ["anchor", "gram"], "left_semi").select("anchor", "text_id", "a", (F.col("a") + least).alias("b"))
-    spans = found.unionByName(split).join(parts.select("anchor", "text_id", "doc_id", "first"), ["anchor", "text_id"])
-    return merged_runs(spans.select("doc_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).select("doc_id", F.col("span_start").cast("int"), F.col("span_end").cast("int"))
+    split = grams.join(common, ["anchor", "gram"], "left_semi").select("anchor", "win", "a", (F.col("a") + least).alias("b"))
+    spans = found.unionByName(split).join(mixed.select("anchor", "win", "doc_id", first.alias("first")), ["anchor", "win"])
+    every = spans.select("doc_id", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b")).unionByName(alike)
+    return merged_runs(every).select("doc_id", F.col("span_start").cast("int"), F.col("span_end").cast("int"))
 
 
 def coverage(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def test_every_stretch_has_an_anchor():
     rnd = random.Random(1)
     for letters in ("ab", "abcdefghijklmnop", "a"):
         t = "".join(rnd.choice(letters) for _ in range(1000))
-        owner, _, at, first, last = anchors(["short", t], LEAST)
+        owner, _, at, first, last, _ = anchors(["short", t], LEAST)
         covered = {s for a, b in zip(first.tolist(), last.tolist()) for s in range(a, b + 1)}
         assert covered == set(range(len(t) - LEAST + 1)) and set(owner.tolist()) == {1}
         assert all(f <= p and p + 64 <= f + LEAST or p >= l for p, f, l in zip(at.tolist(), first.tolist(), last.tolist()))
@@ -103,3 +103,22 @@ def test_automaton_tells_documents_apart():
 def test_bound(spark):
     with pytest.raises(ValueError):
         shared_spans(spark.createDataFrame([], "doc_id long, text string"), 10)
+
+
+def test_texts_of_one_doc_id_keep_their_places(spark):
+    rnd = random.Random(3)
+    piece = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    x, y = piece(), piece()
+    docs = [(1, "one" + x + piece()), (1, piece() + y + "two"), (2, piece() + x[40:250]), (3, y[:200] + piece())]
+    got = {tuple(r) for r in shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), LEAST).collect()}
+    assert got == {(1, 43, 253), (1, 300, 500), (2, 300, 510), (3, 0, 200)}
+
+
+@pytest.mark.parametrize("shard_texts", [512, 20])
+def test_one_passage_in_very_many_texts(spark, shard_texts):
+    rnd = random.Random(8)
+    piece = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    licence = piece(150)
+    docs = [(i, piece(90) + "|" + licence + "|" + piece(90)) for i in range(120)] + [(1000 + i, piece(400)) for i in range(20)]
+    got = {tuple(r) for r in shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), LEAST, shard_texts).collect()}
+    assert got == brute(docs, LEAST) and len(got) == 120

@@ -7,9 +7,10 @@ sure to hold all partners of a stretch, and an automaton is built for each:
 
 1. Every stretch of ``least`` characters names an anchor: the inner ``GRAM``
    characters with the smallest hash. Equal stretches name equal anchors, so only
-   anchors that two documents have can lie in a shared stretch. The text round an
-   anchor, as far as its stretches reach, is its window; only places and a hash of
-   the window leave the task that reads the text.
+   anchors that two documents have can lie in a shared stretch, and of these only
+   those with half of the rest in common before or after the anchor. The text round
+   an anchor, as far as its stretches reach, is its window; only places and hashes
+   of the window and the sides leave the task that reads the text.
 2. The windows round an anchor are its reference shard. Equal ones are one, marked
    with the documents it has; a shard of one window is shared as a whole, and no
    text of it is ever moved. Of other shards each window's text is fetched once.
@@ -84,8 +85,14 @@ def window_hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(_code_points(text))).astype(np.int64))
 
 
-def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, anchor hash, its place, first and last stretch that names it, hash of the window), of texts of ``least`` or more characters."""
+def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, anchor hash, its place, first and last stretch that names it, hash of the window, sides), of texts of ``least`` or more characters.
+
+    A stretch reaches half of ``least - gram`` beyond its anchor on one side at least.
+    The sides are 32 bits of a hash of so many characters before the anchor and as
+    many of those after it; 0 where the text has fewer.
+    """
+    reach = -(-(least - gram) // 2)
     parts: list[tuple[np.ndarray, ...]] = []
     held: list[tuple[int, int, np.ndarray]] = []  # text, place of the piece in it, characters
 
@@ -105,9 +112,15 @@ def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray,
         last = np.r_[first[1:], len(starts)] - 1
         o = o[first]
         shift = np.array([at for _, at, _ in held])[o] - (ends - [len(c) for _, _, c in held])[o]
+        sides = np.zeros(len(first), dtype=np.uint64)
+        if reach and len(chars) >= reach:
+            side, at, low = gram_hashes(chars, reach) >> np.uint64(32) | np.uint64(1), p[first], (ends - [len(c) for _, _, c in held])[o]
+            before, after = at - reach >= low, at + gram + reach <= ends[o]
+            sides[before] = side[at[before] - reach] << np.uint64(32)
+            sides[after] |= side[at[after] + gram]
         raw, a, b = memoryview(chars).cast("B"), (starts[first] * 4).tolist(), ((starts[last] + least) * 4).tolist()
         windows = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(a, b)), np.uint64, len(a))
-        parts.append((np.array([t for t, _, _ in held])[o], h[p[first]].view(np.int64), p[first] + shift, starts[first] + shift, starts[last] + shift, windows.view(np.int64)))
+        parts.append((np.array([t for t, _, _ in held])[o], h[p[first]].view(np.int64), p[first] + shift, starts[first] + shift, starts[last] + shift, windows.view(np.int64), sides.view(np.int64)))
         held.clear()
 
     size = 0
@@ -125,8 +138,8 @@ def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray,
     flush()
     if not parts:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z, z
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(6))  # type: ignore[return-value]
+        return z, z, z, z, z, z, z
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(7))  # type: ignore[return-value]
 
 
 class SharedAutomaton:
@@ -255,14 +268,21 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 512) -> D
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, h, at, first, last, win = anchors(b.column(1).to_pylist(), least)
+            t, h, at, first, last, win, sides = anchors(b.column(1).to_pylist(), least)
             # one number for the three places: the later two lie within `least` of the first stretch
             place = (first << 24) | ((at - first) << 12) | (last - first)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(h), pa.array(place), pa.array(win)], names=["doc_id", "anchor", "place", "win"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(h), pa.array(place), pa.array(win), pa.array(sides)], names=["doc_id", "anchor", "place", "win", "sides"])
 
-    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long, win long"), "anchors")
+    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long, win long, sides long"), "anchors")
     several = named.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     hits = materialise(named.join(several, "anchor", "left_semi"), "hits")
+    if least > GRAM:
+        # a shared stretch has one of the two sides in common with another document; what has none holds no stretch
+        side = F.explode(F.array(F.when(F.shiftrightunsigned("sides", 32) != 0, F.struct(F.lit("L").alias("s"), F.shiftrightunsigned("sides", 32).alias("h"))), F.when(F.col("sides").bitwiseAND(0xFFFFFFFF) != 0, F.struct(F.lit("R").alias("s"), F.col("sides").bitwiseAND(0xFFFFFFFF).alias("h"))))).alias("side")
+        sides = hits.select("doc_id", "anchor", "place", side).where("side is not null")
+        met = sides.groupBy("anchor", "side").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor", "side")
+        kept = sides.join(met, ["anchor", "side"], "left_semi").select("doc_id", "anchor", "place").distinct()
+        hits = materialise(hits.drop("sides").join(kept, ["doc_id", "anchor", "place"], "left_semi"), "hits")
     stats = hits.groupBy("anchor").agg((F.min("win") == F.max("win")).alias("alike"))
     hits = hits.join(stats, "anchor")
     first, length = F.shiftright("place", 24), F.col("place").bitwiseAND(0xFFF) + least
@@ -305,15 +325,6 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 512) -> D
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["anchor", "win", "a", "b"])
 
     found = shards.mapInArrow(match, "anchor long, win long, a int, b int")
-    # split path: a shared stretch reaches this far beyond the anchor on one side at least,
-    # so windows that share no such side with another document are out before anything is split
-    reach = -(-(least - GRAM) // 2)
-    left = F.when(F.col("at") >= reach, F.xxhash64(F.lit("L"), F.expr(f"substring(text, at - {reach} + 1, {reach})")))
-    right = F.when(F.length("text") >= F.col("at") + GRAM + reach, F.xxhash64(F.lit("R"), F.expr(f"substring(text, at + {GRAM} + 1, {reach})")))
-    sides = heavy.select("anchor", "win", "lo", "hi", F.explode(F.array(left, right)).alias("side")).where("side is not null")
-    met = sides.groupBy("anchor", "side").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x < y").select("anchor", "side")
-    heavy = heavy.join(sides.join(met, ["anchor", "side"], "left_semi").select("anchor", "win").distinct(), ["anchor", "win"], "left_semi")
-
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -323,7 +334,7 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 512) -> D
                 same = [pa.array(np.full(n, r[c], dtype=np.int64)) for c in ("anchor", "win", "lo", "hi")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(grams)], names=["anchor", "win", "lo", "hi", "a", "gram"])
 
-    # then a row per stretch, counted like any other key
+    # split path: a row per stretch, counted like any other key
     grams = heavy.select("anchor", "win", "lo", "hi", "text").mapInArrow(stretches, "anchor long, win long, lo long, hi long, a int, gram long")
     common = grams.groupBy("anchor", "gram").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x < y").select("anchor", "gram")
     split = grams.join(common, ["anchor", "gram"], "left_semi").select("anchor", "win", "a", (F.col("a") + least).alias("b"))

@@ -86,7 +86,7 @@ def test_every_stretch_has_an_anchor():
     rnd = random.Random(1)
     for letters in ("ab", "abcdefghijklmnop", "a"):
         t = "".join(rnd.choice(letters) for _ in range(1000))
-        owner, _, at, first, last, _ = anchors(["short", t], LEAST)
+        owner, _, at, first, last, *_ = anchors(["short", t], LEAST)
         covered = {s for a, b in zip(first.tolist(), last.tolist()) for s in range(a, b + 1)}
         assert covered == set(range(len(t) - LEAST + 1)) and set(owner.tolist()) == {1}
         assert all(f <= p and p + 64 <= f + LEAST or p >= l for p, f, l in zip(at.tolist(), first.tolist(), last.tolist()))
@@ -122,3 +122,9 @@ def test_one_passage_in_very_many_texts(spark, shard_texts):
     docs = [(i, piece(90) + "|" + licence + "|" + piece(90)) for i in range(120)] + [(1000 + i, piece(400)) for i in range(20)]
     got = {tuple(r) for r in shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), LEAST, shard_texts).collect()}
     assert got == brute(docs, LEAST) and len(got) == 120
+
+
+def test_stretches_no_longer_than_an_anchor(spark):
+    docs = corpus(6)[:40] + [(100, "y" * 64), (101, "y" * 64)]
+    got = {tuple(r) for r in shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), 64).collect()}
+    assert got == brute(docs, 64)

@@ -89,7 +89,7 @@ def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray,
     """(text number, anchor hash, its place, first and last stretch that names it, hash of the window, sides), of texts of ``least`` or more characters.
 
     A stretch reaches half of ``least - gram`` beyond its anchor on one side at least.
-    The sides are 32 bits of a hash of so many characters before the anchor and as
+    The sides are 16 bits of a hash of so many characters before the anchor and as
     many of those after it; 0 where the text has fewer.
     """
     reach = -(-(least - gram) // 2)
@@ -112,15 +112,15 @@ def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray,
         last = np.r_[first[1:], len(starts)] - 1
         o = o[first]
         shift = np.array([at for _, at, _ in held])[o] - (ends - [len(c) for _, _, c in held])[o]
-        sides = np.zeros(len(first), dtype=np.uint64)
+        sides = np.zeros(len(first), dtype=np.uint32)
         if reach and len(chars) >= reach:
-            side, at, low = gram_hashes(chars, reach) >> np.uint64(32) | np.uint64(1), p[first], (ends - [len(c) for _, _, c in held])[o]
+            side, at, low = (gram_hashes(chars, reach) >> np.uint64(48)).astype(np.uint32) | np.uint32(1), p[first], (ends - [len(c) for _, _, c in held])[o]
             before, after = at - reach >= low, at + gram + reach <= ends[o]
-            sides[before] = side[at[before] - reach] << np.uint64(32)
+            sides[before] = side[at[before] - reach] << np.uint32(16)
             sides[after] |= side[at[after] + gram]
         raw, a, b = memoryview(chars).cast("B"), (starts[first] * 4).tolist(), ((starts[last] + least) * 4).tolist()
         windows = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(a, b)), np.uint64, len(a))
-        parts.append((np.array([t for t, _, _ in held])[o], h[p[first]].view(np.int64), p[first] + shift, starts[first] + shift, starts[last] + shift, windows.view(np.int64), sides.view(np.int64)))
+        parts.append((np.array([t for t, _, _ in held])[o], h[p[first]].view(np.int64), p[first] + shift, starts[first] + shift, starts[last] + shift, windows.view(np.int64), sides.view(np.int32)))
         held.clear()
 
     size = 0
@@ -138,7 +138,7 @@ def anchors(texts: list[str], least: int, gram: int = GRAM) -> tuple[np.ndarray,
     flush()
     if not parts:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z, z, z
+        return z, z, z, z, z, z, z.astype(np.int32)
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(7))  # type: ignore[return-value]
 
 
@@ -273,12 +273,12 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 512) -> D
             place = (first << 24) | ((at - first) << 12) | (last - first)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(h), pa.array(place), pa.array(win), pa.array(sides)], names=["doc_id", "anchor", "place", "win", "sides"])
 
-    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long, win long, sides long"), "anchors")
+    named = materialise(texts.mapInArrow(name, "doc_id long, anchor long, place long, win long, sides int"), "anchors")
     several = named.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     hits = materialise(named.join(several, "anchor", "left_semi"), "hits")
     if least > GRAM:
         # a shared stretch has one of the two sides in common with another document; what has none holds no stretch
-        side = F.explode(F.array(F.when(F.shiftrightunsigned("sides", 32) != 0, F.struct(F.lit("L").alias("s"), F.shiftrightunsigned("sides", 32).alias("h"))), F.when(F.col("sides").bitwiseAND(0xFFFFFFFF) != 0, F.struct(F.lit("R").alias("s"), F.col("sides").bitwiseAND(0xFFFFFFFF).alias("h"))))).alias("side")
+        side = F.explode(F.array(F.nullif(F.shiftrightunsigned("sides", 16), F.lit(0)), F.nullif(-F.col("sides").bitwiseAND(0xFFFF), F.lit(0)))).alias("side")
         sides = hits.select("doc_id", "anchor", "place", side).where("side is not null")
         met = sides.groupBy("anchor", "side").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor", "side")
         kept = sides.join(met, ["anchor", "side"], "left_semi").select("doc_id", "anchor", "place").distinct()

@@ -42,24 +42,43 @@ class Trie:
 
     def near(self, word: str, most: int) -> Iterator[tuple[int, list]]:
         """(edits, values) of all words within ``most`` edits. The automaton's state
-        is the row of edits so far; a swap of neighbours needs the row before it."""
-        first = list(range(len(word) + 1))
-        stack: list[tuple[dict, list[int], list[int] | None, str]] = [(self.root, first, None, "")]
+        is the band of edits round the letters read so far, none beyond ``most`` + 1;
+        a swap of neighbours needs the band before it."""
+        n, over = len(word), most + 1
+        width = range(2 * most + 1)
+        # place k of a band at depth i stands for the first i - most + k letters of the word
+        stack: list[tuple[dict, int, list[int], list[int] | None, str]] = [(self.root, 0, [k - most if k >= most and k - most <= n else over for k in width], None, "")]
         while stack:
-            node, row, before, last = stack.pop()
-            if "" in node and row[-1] <= most:
-                yield row[-1], node[""]
+            node, i, band, before, last = stack.pop()
+            at = n - i + most
+            if 0 <= at <= 2 * most and band[at] <= most and "" in node:
+                yield band[at], node[""]
+            base = i - most  # of the next band, the letter that place k ends with
             for c, child in node.items():
                 if not c:
                     continue
-                new = [row[0] + 1]
-                for j, x in enumerate(word, 1):
-                    d = min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != c))
-                    if before is not None and j > 1 and x == last and word[j - 2] == c:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
-                if min(new) <= most or (min(row) <= most and most):
-                    stack.append((child, new, row, c))
+                new, left, best = [], over, over
+                for k in width:
+                    j = base + k
+                    if j < -1 or j >= n:
+                        left = over
+                    elif j == -1:
+                        left = i + 1
+                    else:
+                        x = word[j]
+                        d = band[k] if x == c else band[k] + 1
+                        if left < d - 1:
+                            d = left + 1
+                        if k < 2 * most and band[k + 1] < d - 1:
+                            d = band[k + 1] + 1
+                        if before is not None and j and x == last and word[j - 1] == c and before[k] < d - 1:
+                            d = before[k] + 1
+                        left = d if d < over else over
+                    new.append(left)
+                    if left < best:
+                        best = left
+                if best <= most:
+                    stack.append((child, i + 1, new, band, c))
 
 
 def bound(word: str, strong: bool) -> int:
@@ -333,12 +352,28 @@ def shard_links(people: list[tuple[str, str, str, bool, bool]], strong: bool, ho
                 link(i, j)
         elif fits:
             ambiguous.add(i)
+    # initials without a full name are one person's if their middle initials, and those of whom
+    # they were found to be, agree; one without a middle initial that fits several is none of theirs
+    middles: dict[int, set[str]] = defaultdict(set)
+    for i, n in enumerate(names):
+        middles[find(i)] |= set(n.middle[:1])
+
+    def apart(i: int, j: int) -> bool:
+        return not strong and bool(middles[find(i)] and middles[find(j)] and not middles[find(i)] & middles[find(j)])
+
     for i in bare:
-        for j in shard.bare_with_initial(i):
-            if i in ambiguous or j in ambiguous or here[j] and i >= j or find(i) == find(j) or not fit(i, j):
+        if i in ambiguous:
+            continue
+        near = [j for j in shard.bare_with_initial(i) if j not in ambiguous and j != i and find(i) != find(j) and fit(i, j)]
+        if not strong and not middles[find(i)] and len(set().union(*(middles[find(j)] for j in near))) > 1:
+            near = [j for j in near if not middles[find(j)]]
+        for j in near:
+            if here[j] and i >= j or find(i) == find(j) or apart(i, j):
                 continue
             if here[j]:
+                both = middles[find(i)] | middles[find(j)]
                 link(i, j)
+                middles[find(i)] = both
             else:
                 halves.append((i, j))
     return [(people[i][2], people[j][2]) for i, j in links], [(people[i][2], people[j][2]) for i, j in halves]
@@ -373,19 +408,21 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds until nothing changes; each round is written
     to the shared folder, so the plan stays short and a lost executor costs one.
     """
+    def state(table: DataFrame) -> tuple:
+        """What tells one round's edges from another's; read from the table that was just written."""
+        return tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    now, before = state(edges), None
+    while now != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, "large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        small = materialise(small, "small")
-        change = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
-        edges = small
-        if not change:
-            break
+        edges = materialise(small, "small")
+        before, now = now, state(edges)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
@@ -449,7 +486,17 @@ def linked_authors(authors: DataFrame, known_share: float = 0.0005, known_least:
     return components(links).select(F.col("id").alias("author_id"), F.col("root").alias("person"))
 
 
-def same_person_pairs(linked: DataFrame) -> DataFrame:
-    """Every pair of records of one person, smaller id first."""
-    a, b = linked.alias("a"), linked.alias("b")
-    return a.join(b, (F.col("a.person") == F.col("b.person")) & (F.col("a.author_id") < F.col("b.author_id"))).select(F.col("a.author_id").alias("author_id_1"), F.col("b.author_id").alias("author_id_2"))
+def same_person_pairs(linked: DataFrame, part_size: int = 1000) -> DataFrame:
+    """Every pair of records of one person, smaller id first. A person of more than ``part_size``
+    records is cut into parts, each of which meets all records, so that none is one task."""
+    linked = materialise(linked, "linked")
+    parts = F.greatest(F.ceil(F.col("n") / part_size), F.lit(1))
+    sized = linked.join(linked.groupBy("person").agg(F.count(F.lit(1)).alias("n")), "person").withColumn("parts", parts)
+    one = sized.select("person", F.pmod(F.xxhash64("author_id"), "parts").alias("part"), F.col("author_id").alias("x"))
+    all_ = sized.select("person", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.col("author_id").alias("y"))
+    return one.join(all_, ["person", "part"]).where("x < y").select(F.col("x").alias("author_id_1"), F.col("y").alias("author_id_2"))
+
+
+def unplaced(authors: DataFrame) -> DataFrame:
+    """``author_id`` of records that nothing can link: without a name, or with neither an iD nor an institution."""
+    return profiles(authors).where("author_id is not null and (name is null or (ids = '' and size(forms) = 0))").select("author_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.authors import linked_authors, same_person_pairs
+from citeloom.llm.authors import linked_authors, same_person_pairs, unplaced
 from citeloom.llm.bpe import encode_corpus
 from citeloom.llm.cooccur import cooccurring_pairs
 from citeloom.llm.mixing import Mix
@@ -88,6 +88,11 @@ def p7_people(spark: SparkSession, d: str) -> DataFrame:
     return linked_authors(table(spark, d, "authors"))
 
 
+def p7_unplaced(spark: SparkSession, d: str) -> DataFrame:
+    """Records that come to no place, so are compared with none."""
+    return unplaced(table(spark, d, "authors"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -113,7 +118,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p5_found": p5_found, "p5_lift": p5_lift,
-    "p7_found": p7_found, "p7_people": p7_people,
+    "p7_found": p7_found, "p7_people": p7_people, "p7_unplaced": p7_unplaced,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_coverage": p10_coverage,

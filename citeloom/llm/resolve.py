@@ -62,8 +62,18 @@ def tokens_of(text: str) -> list[str]:
 
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edits with swapped neighbours counted once; ``most`` + 1 if there are more."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    first, last, n = 0, 0, min(len(a), len(b))
+    while first < n and a[first] == b[first]:
+        first += 1
+    while last < n - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return len(a) + len(b)
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         two, before, row = before, row, [i]

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from citeloom.llm import authors
-from citeloom.llm.authors import Trie, bound, components, linked_authors, near_words, same_person_pairs
+from citeloom.llm.authors import Trie, bound, components, linked_authors, near_words, same_person_pairs, unplaced
 from citeloom.llm.people import Name, institution_words, parse_name
 from citeloom.llm.resolve import edit_distance
 
@@ -154,3 +154,34 @@ def test_reordered_names(spark, monkeypatch, whole):
     rows = [("a1", "Robert Thomas", None, x), ("a2", "Thomas Robert", None, x), ("b1", "Wei Li", None, x), ("b2", "Li Wei", None, x), ("c1", "Robert Smith", None, x), ("c2", "Smith Bob", None, x), ("d1", "T. Thomas", None, x)]
     rows += [(f"{g}{i}", f"{g} {s}", None, y) for g in ("Robert", "Thomas", "Wei", "Li") for i, s in enumerate(("Vapadell", "Torkedi", "Fenkaro", "Brelakovo", "Quimlado"))]
     assert groups(spark.createDataFrame(people(rows), SCHEMA)) == [["a1", "a2"], ["b1", "b2"], ["c1", "c2"]]
+
+
+@pytest.mark.parametrize("whole", [0, 64])
+def test_short_surnames_with_an_edit_in_the_middle(spark, monkeypatch, whole):
+    monkeypatch.setattr(authors, "WHOLE", whole)
+    x = ["University of Halemoor"]
+    names = ["John Smith", "John Smyth", "Anna Walker", "Anna Welker", "Ines Lopez", "Ines Lobez", "Hugo Jones", "Hugo Jomes"]
+    df = spark.createDataFrame(people([(f"a{i}", n, None, x) for i, n in enumerate(names)]), SCHEMA)
+    assert groups(df) == [["a0", "a1"], ["a2", "a3"], ["a4", "a5"], ["a6", "a7"]]
+
+
+@pytest.mark.parametrize("whole", [0, 64])
+def test_middle_initials_keep_people_apart(spark, monkeypatch, whole):
+    monkeypatch.setattr(authors, "WHOLE", whole)
+    x, y = ["University of Halemoor"], ["Oldon Institute of Technology"]
+    rows = [("a1", "John A. Smith", None, x), ("a2", "J. Smith", None, x), ("a3", "J. B. Smith", None, x)]
+    rows += [("b1", "J. Smith", None, y), ("b2", "J. A. Smith", None, y), ("b3", "J. B. Smith", None, y), ("b4", "J. B. Smyth", None, y)]
+    assert groups(spark.createDataFrame(people(rows), SCHEMA)) == [["a1", "a2"], ["b3", "b4"]]
+
+
+def test_pairs_of_a_large_person(spark):
+    df = spark.createDataFrame([(f"{i:03}", "p") for i in range(60)] + [("x", "q"), ("y", "q")], "author_id string, person string")
+    want = {(f"{i:03}", f"{j:03}") for i in range(60) for j in range(i + 1, 60)} | {("x", "y")}
+    for size in (7, 1000):
+        got = [tuple(r) for r in same_person_pairs(df, size).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_unplaced(spark):
+    rows = [("a", "Only Name", None, [None, ""]), ("b", "Has Place", None, ["Oldon Institute"]), ("c", None, None, ["Oldon Institute"]), ("d", "Has Id", "0099-0000-0000-0001", None), (None, "x y", None, None)]
+    assert sorted(r.author_id for r in unplaced(spark.createDataFrame(people(rows), SCHEMA)).collect()) == ["a", "c"]

@@ -37,7 +37,7 @@ def parsed(df: DataFrame, column: str, schema: str) -> DataFrame:
 def find_authors(authors: DataFrame, *, orcid: str | None = None, name: str | None = None, least: float = 0.8, limit: int = 100) -> DataFrame:
     """FIL18, SRT08: by iD, or by similar names, the most similar first."""
     if orcid is not None:
-        return authors.where(F.col("orcid") == orcid).withColumn("score", F.lit(1.0)).limit(limit)
+        return authors.where(F.col("orcid") == orcid).withColumn("score", F.lit(1.0)).orderBy("author_id").limit(limit)
     n = F.lit((name or "").lower())
     scored = authors.where(may_reach(F.lower("name"), n, least * 100)).withColumn("score", indel_ratio(F.lower("name"), n) / 100)
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "author_id").limit(limit)

@@ -127,10 +127,10 @@ class Sync:
         return self.spark.read.parquet(self.log).agg(F.count(F.lit(1)).alias("n_batches"), F.sum("n_served").alias("n_served"), F.sum("n_failed").alias("n_failed"), F.max_by("status", "batch").alias("last_status"))
 
 
-def dead_letter_list(dead: DataFrame, error_type: str | None = None, limit: int = 100) -> DataFrame:
-    """FIL27: newest first."""
+def dead_letter_list(dead: DataFrame, error_type: str | None = None, limit: int | None = 100) -> DataFrame:
+    """FIL27: newest first; all of them in no order if ``limit`` is None."""
     rows = dead if error_type is None else dead.where(F.col("error_type") == error_type)
-    return rows.orderBy(F.desc("batch")).limit(limit)
+    return rows if limit is None else rows.orderBy(F.desc("batch")).limit(limit)
 
 
 class Reindex:

@@ -134,8 +134,8 @@ def absent_from(new: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame
 
 def merge_mentions(stored: Column, incoming: Column) -> Column:
     """JOI08, PRJ04: stored mentions, then incoming ones whose id isn't among them; nulls are empty."""
-    old = F.coalesce(stored, F.slice(incoming, 1, 0))
-    return F.concat(old, F.filter(F.coalesce(incoming, F.slice(stored, 1, 0)), lambda n: ~F.exists(old, lambda o: o["id"].eqNullSafe(n["id"]))))
+    old = F.coalesce(stored, F.slice(incoming, 1, 0), F.array())
+    return F.concat(old, F.filter(F.coalesce(incoming, F.slice(stored, 1, 0), F.array()), lambda n: ~F.exists(old, lambda o: o["id"].eqNullSafe(n["id"]))))
 
 
 def enrich_institutions(pubs: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:

@@ -122,7 +122,6 @@ def q27_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SNIPPETS = ["import os\nfrom x import y\nprint(1)", "library(dplyr)\nx <- data.frame(a)", "SELECT a FROM t WHERE b", "#!/bin/bash\nls -l $HOME", "const a = 1; let b = 2; console.log(a)", '{"a": 1}', "nothing here"]
-_EXPECTED = ["python", "r", "sql", "bash", "javascript", "json", "other"]
 
 
 def q28_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -279,6 +278,34 @@ l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS raw, generate_subscrip
 c AS (SELECT doc_id, i, trim(regexp_replace(raw, '[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}\x{001C}-\x{001F}]+', ' ', 'g')) AS line FROM l),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) AS rn FROM c WHERE length(line) > 3)"""
 
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: The constructed snippets, and texts with addresses, as SQL has them.
+_BODIES = "b AS (SELECT c_custkey, [" + ", ".join(_sql_text(s) for s in _SNIPPETS) + "][CAST(c_custkey % 7 + 1 AS INTEGER)] AS body FROM customer)"
+_NOTES = _URLS + """,
+t AS (SELECT c_custkey, 'See ' || url || E' for data.\\n```python\\nimport os\\ndef run(x):\\n    return os.getpid()\\n```\\nand `inline_code_here_long` too.' AS text FROM u)"""
+
+
+def _matches(patterns: list[str], counted: bool, flag: str = "") -> str:
+    """How many of the patterns occur in ``body``, or how often they all do."""
+    one = "len(regexp_extract_all(body, {}))" if counted else "CAST(regexp_matches(body, {}) AS INTEGER)"
+    return "(" + " + ".join(one.format(_sql_text(flag + p)) for p in patterns) + ")"
+
+
+def _best(scores: dict[str, str], none: str) -> str:
+    """The first name of those with the greatest score."""
+    top = f"greatest({', '.join(scores.values())})"
+    return f"CASE WHEN {top} = 0 THEN '{none}' " + " ".join(f"WHEN {s} = {top} THEN '{n}'" for n, s in scores.items()) + " END"
+
+
+_BY_PATTERNS = "CASE " + " ".join(f"WHEN {_matches(ps, False)} >= 2 THEN '{n}'" for n, ps in code_fn.SHORT_PATTERNS.items()) + r" WHEN json_valid(body) AND regexp_matches(trim(body), '(?s)^\{.*\}$') THEN 'json' ELSE 'other' END"
+_BY_COUNTS = _best({n: _matches(ps, True, "(?i)") for n, ps in code_fn.LANGUAGE_PATTERNS.items()}, "unknown")
+_BY_INDICATORS = _best({n: "(" + " + ".join(f"CAST(contains(body, {_sql_text(w)}) AS INTEGER)" for w in ws) + ")" for n, ws in code_fn.INDICATORS.items()}, "unknown")
+_LINK_CLASS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(url), '{p}')" for p in parts) + f" THEN '{n}'" for n, parts in links.LINK_CLASSES.items()) + " ELSE 'other' END"
 _SPACE = r"[\s\x{00A0}\x{0085}\x{000B}\x{001C}-\x{001F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _LINE = f"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))"
 
@@ -322,7 +349,14 @@ ORACLE = {
       CASE c_custkey % {_N} WHEN 0 THEN 'repository' WHEN 7 THEN 'gist' WHEN 8 THEN 'issue_pr' END AS kind, CASE c_custkey % {_N} WHEN 0 THEN 'r' || c_custkey WHEN 7 THEN 'abc' || c_custkey WHEN 8 THEN 'r' END AS repository, contains(url, 'github.com') AS is_repo_host FROM u""",
     "q26_checked": "SELECT c_custkey, c_custkey % 4 = 0 AND c_custkey % 9 <> 6 AS is_accessible, 'main' AS default_branch FROM customer",
     "q27_html": "SELECT c_custkey, c_name AS title, 'of ' || c_name AS description, 'https://x.y/' || c_custkey AS canonical, 'en' AS lang, CAST(2 AS INTEGER) AS n_links FROM customer",
-    "q28_languages": f"SELECT c_custkey, CASE c_custkey % 7 {' '.join(f'WHEN {i} THEN {e!r}' for i, e in enumerate(_EXPECTED))} END AS language FROM customer",
+    "q26_links": f"""WITH {_NOTES}, m AS ({" UNION ALL ".join(f"SELECT c_custkey, {i} AS k, '{n}' AS kind, unnest(regexp_extract_all(text, {_sql_text(p)})) AS url FROM t" for i, (n, p) in enumerate(links.LINK_PATTERNS))}),
+      f AS (SELECT c_custkey, url, arg_min(kind, k) AS kind FROM m GROUP BY ALL) SELECT c_custkey, kind, url, {_LINK_CLASS} AS link_type, CAST(instr(text, url) - 1 AS INTEGER) AS start FROM f JOIN t USING (c_custkey) WHERE NOT regexp_matches(lower(url), 'github\\.com|githubusercontent\\.com')""",
+    "q28_languages": f"WITH {_BODIES} SELECT c_custkey, {_BY_PATTERNS} AS language FROM b",
+    "q28_language_counts": f"WITH {_BODIES} SELECT {_BY_COUNTS} AS by_counts, {_BY_INDICATORS} AS by_indicators, count(*) AS n FROM b GROUP BY ALL",
+    "q42_aligned": rf"""WITH p AS (SELECT a.doc_id, lower(a.text) AS t, lower(coalesce(b.text, '')) AS r FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL),
+      w AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{extraction.TERM}') AS l FROM p)), f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY ALL), k AS (SELECT doc_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f) WHERE rn <= 50),
+      every AS (SELECT doc_id, w FROM k UNION SELECT doc_id, x FROM p, (VALUES ('watershed'), ('census'), {", ".join(f"('{b}')" for b in extraction.BONUS_TERMS)}) AS v(x)),
+      n AS (SELECT doc_id, CAST(count(*) FILTER (contains(r, w)) AS INTEGER) AS matches FROM every JOIN p USING (doc_id) GROUP BY 1), s AS (SELECT doc_id, matches, round_even(least(10.0, matches * CAST(0.8 AS DOUBLE)), 2) AS score FROM n) SELECT *, score >= 6 AS passes FROM s""",
     "q29_triage_answers": "SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS publication_id, o_orderkey % 5 <> 3 AS is_data_analysis, CASE o_orderkey % 5 WHEN 2 THEN 5.0 WHEN 3 THEN 0.0 ELSE CAST(o_orderkey % 10 AS DOUBLE) END AS confidence FROM orders",
     "q29_validations": "SELECT c_custkey, CAST(0 AS INTEGER) AS pos, 'D' || c_custkey AS name, true AS is_mentioned, CAST(8.5 AS DOUBLE) AS confidence_mention, CAST(2.0 AS DOUBLE) AS confidence_use FROM customer UNION ALL SELECT c_custkey, 1, 'E', false, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE) FROM customer",
     "q29_repaired": "SELECT c_custkey, 'D' || c_custkey AS name, CAST(5.0 AS DOUBLE) AS confidence FROM customer",

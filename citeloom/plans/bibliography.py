@@ -348,6 +348,9 @@ ORACLE = {
     "q36_mentioned_entries": f"""WITH {_PUBS}, m AS (SELECT id AS publication_id, unnest(mentioned_datasets) AS m FROM pubs), x AS (SELECT publication_id, m.id AS k FROM m UNION SELECT publication_id, m.name FROM m),
       i AS (SELECT dataset_id, dataset_name AS k FROM seed_datasets UNION SELECT dataset_id, trim(unnest(string_split(aliases, ';'))) FROM seed_datasets UNION SELECT dataset_id, dataset_id FROM seed_datasets)
       SELECT DISTINCT publication_id, dataset_id FROM x JOIN i USING (k) WHERE k <> ''""",
+    "q37_merged_mentions": rf"""WITH {_PUBS}, old AS (SELECT * FROM (SELECT lower(trim(id, E' \t\n\r')) AS k, mentioned_datasets AS m, row_number() OVER (PARTITION BY lower(trim(id, E' \t\n\r')) ORDER BY harvested_at) AS rn FROM publications WHERE trim(id, E' \t\n\r') <> '' AND mentioned_datasets IS NOT NULL) WHERE rn = 1),
+      b AS (SELECT lower(trim(id, E' \t\n\r')) AS k, mentioned_datasets AS new, old.m AS old FROM pubs LEFT JOIN old ON old.k = lower(trim(id, E' \t\n\r')))
+      SELECT k, CAST(coalesce(len(new), 0) + coalesce(len(list_filter(old, lambda o: len(list_filter(coalesce(new, []), lambda n: n.id IS NOT DISTINCT FROM o.id)) = 0)), 0) AS INTEGER) AS n FROM b""",
     "q38_found": f"""WITH {_PUBS} SELECT id, publication_year, citation_count FROM pubs WHERE publication_year IN (2014, 2015, 2016) AND citation_count >= 1 AND list_has_any(string_split_regex(lower(title), '\\W+'), ['soil', 'income']) ORDER BY id LIMIT 100""",
     "q39_new_authors": f"WITH {_PUBS} SELECT DISTINCT a.id AS author_id FROM (SELECT unnest(authors) AS a FROM pubs) WHERE a.id IS NOT NULL AND a.id NOT IN (SELECT author_id FROM authors WHERE author_id IS NOT NULL)",
     "q40_text_functions": f"SELECT DISTINCT evidence_id, {_slug('dataset_name')} AS slug, {_plain('dataset_name')} AS plain, CASE WHEN lower(trim(doi)) NOT IN ('', 'null', 'none', 'n/a') THEN trim(doi) END AS doi, CASE WHEN lower(trim(dataset_usage_status)) IN ('none', 'mentioned', 'analyzed') THEN lower(trim(dataset_usage_status)) END AS status FROM evidence",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import alias_list, clean_doi, slug
+from citeloom.sources.session import materialise
 
 # What a publication's page begins with, the documents' vocabulary, and the order of reviews.
 PUBLICATION_PAGE = "https://app.dimensions.ai/details/publication/"
@@ -34,20 +35,32 @@ def reviews(rows: DataFrame, aspect: str) -> DataFrame:
 def ordered_reviews(parts: list[DataFrame]) -> DataFrame:
     """JOI21, SRT03: with ``place``: reviews of a dataset by aspect, DOI and ``seq``.
 
-    Places are counted by a window; the reviews of a dataset that a third of all
-    rows name are sorted on disk, not gathered in an array.
+    Reviews are range-partitioned by that order, so a dataset that a third of all
+    rows name lies in many partitions; places are counted in each of them, after
+    what the ones before it hold.
     """
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
     order = F.coalesce(*[F.when(F.col("aspect") == a, i) for a, i in ASPECTS.items()], F.lit(9))
-    w = Window.partitionBy("dataset_id").orderBy(order, "doi", "seq")
-    return all_.select("dataset_id", "aspect", "doi", "seq", "review", (F.row_number().over(w) - 1).alias("place"))
-
-
-def documents(registry: DataFrame, reviewed: DataFrame, creators: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
-    """PRJ08: ``dataset_id, slug, document`` (JSON, absent parts left out) of every entry."""
-    got = reviewed.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("place", "review"))).alias("r"))
+    ranged = all_.withColumn("_o", order).repartitionByRange("dataset_id", "_o", "doi", "seq").withColumn("_part", F.spark_partition_id())
+    ranged = materialise(ranged, "reviews")
+    held = ranged.groupBy("dataset_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("dataset_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition that a dataset lies in
+    held = held.select("dataset_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    w = Window.partitionBy("dataset_id", "_part").orderBy("_o", "doi", "seq")
+    placed = ranged.withColumn("_at", F.row_number().over(w) - 1).join(held, ["dataset_id", "_part"])
+    return placed.select("dataset_id", "aspect", "doi", "seq", "review", (F.col("_first") + F.col("_at")).cast("int").alias("place"))
+
+
+def documents(registry: DataFrame, reviewed: DataFrame, creators: DataFrame | None = None, subjects: DataFrame | None = None, part_size: int = 10_000) -> DataFrame:
+    """PRJ08: ``dataset_id, part, slug, document`` (JSON, absent parts left out) of every entry.
+
+    An entry with more than ``part_size`` reviews comes out in parts, each of them a
+    document with so many of its reviews, so that no row grows with the data; the
+    slugs of parts after the first end with their number.
+    """
+    got = reviewed.groupBy("dataset_id", F.expr(f"place div {part_size}").cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", "review"))).alias("r"))
     rows = registry.select("dataset_id", "dataset_name", "aliases").join(got, "dataset_id", "left")
     for extra, name in ((creators, "creator_name"), (subjects, "about")):
         rows = rows.join(extra.select("dataset_id", F.col("value").alias(name)), "dataset_id", "left") if extra is not None else rows.withColumn(name, F.lit(None).cast("string"))
@@ -57,7 +70,9 @@ def documents(registry: DataFrame, reviewed: DataFrame, creators: DataFrame | No
         F.when(F.size(other) > 0, other).alias("alternateName"), F.when(F.col("creator_name").isNotNull(), F.struct(F.lit("Organization").alias("@type"), F.col("creator_name").alias("name"))).alias("creator"),
         F.col("about"), F.when(F.size("r") > 0, F.col("r.review")).alias("review"),
     )
-    return rows.select("dataset_id", slug(F.col("dataset_name")).alias("slug"), F.to_json(doc).alias("document"))
+    part = F.coalesce("part", F.lit(0))
+    name = slug(F.col("dataset_name"))
+    return rows.select("dataset_id", part.alias("part"), F.when(part > 0, F.concat_ws("-", name, part.cast("string"))).otherwise(name).alias("slug"), F.to_json(doc).alias("document"))
 
 
 def catalog(registry: DataFrame, reviewed: DataFrame) -> DataFrame:

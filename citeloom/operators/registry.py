@@ -50,12 +50,15 @@ def first_overlap(norms: DataFrame, index: DataFrame, most: int = MOST_ALIASES)
     Aliases inside a norm are found by one automaton per task, in a pass over the
     norms; norms inside an alias by an equi-join with the parts of aliases, each
     with its first alias. Tasks hold the index while it has no more than
-    ``MOST_ALIASES``; a larger one is joined by the condition itself.
+    ``MOST_ALIASES``; with a larger one both ways are joins (:func:`contained`).
     """
     ranked = index.select("norm", "dataset_id", "ord").orderBy("ord").limit(most + 1).collect()
     if len(ranked) > most:
         k = index.select(F.col("norm").alias("key"), F.col("dataset_id").alias("first_id"), "ord")
-        return norms.join(k, F.contains(F.col("key"), F.col("norm")) | F.contains(F.col("norm"), F.col("key"))).groupBy("norm").agg(F.min_by("first_id", "ord").alias("dataset_id"))
+        keys, asked = k.select("key").distinct(), norms.select("norm")
+        met = contained(asked.select(F.col("norm").alias("text")), keys.select(F.col("key").alias("part"))).select(F.col("text").alias("norm"), F.col("part").alias("key"))
+        met = met.unionByName(contained(keys.select(F.col("key").alias("text")), asked.select(F.col("norm").alias("part"))).select(F.col("part").alias("norm"), F.col("text").alias("key"))).distinct()
+        return met.join(k, "key").groupBy("norm").agg(F.min_by("first_id", "ord").alias("dataset_id"))
     spark = norms.sparkSession
     order = [(r["norm"], r["dataset_id"]) for r in ranked]
 
@@ -83,6 +86,23 @@ def first_overlap(norms: DataFrame, index: DataFrame, most: int = MOST_ALIASES)
     return both.join(ids, "i").select("norm", "dataset_id")
 
 
+def contained(texts: DataFrame, parts: DataFrame, size: int = 3) -> DataFrame:
+    """``text, part``: every distinct part that lies in a distinct text; the empty one lies in all.
+
+    An equi-join: a part is looked up by its first ``size`` characters (all of a
+    shorter one) among the stretches of a text, so only pairs that share one are compared.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [sorted({"", *(t[i : i + n] for n in range(1, size + 1) for i in range(len(t) - n + 1))}) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.string()))], names=["text", "grams"])
+
+    stretches = texts.select("text").distinct().mapInArrow(cut, "text string, grams array<string>").select("text", F.explode("grams").alias("gram"))
+    asked = parts.select("part").distinct().withColumn("gram", F.substring("part", 1, size))
+    return stretches.join(asked, "gram").where(F.contains("text", F.col("part"))).select("text", "part")
+
+
 def match_names(names: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:
     """JOI01, JOI02: ``name, dataset_id, how`` of every distinct name.
 

@@ -1,14 +1,16 @@
-"""Keyed tables without a table format: versions in folders, changed as a whole.
+"""Keyed tables without a table format: parts in folders, of which versions are made up.
 
-A table is a folder of versions and a small file that names the current one. A
-change writes a new version beside the old and then renames the file, so readers
-see the one or the other, and a job that dies leaves the old. Plain Spark tables
+A table is cut into parts by a hash of its key. A version is a small file that
+names the folder of each part; a change writes the parts that its keys fall into
+and then puts such a file beside the old ones, so readers see the one version or
+the other, and a job that dies leaves the old. Plain Spark tables
 refuse MERGE and UPDATE; with a table format that has them, ``mergeInto`` does the
 same in place.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -20,61 +22,103 @@ from citeloom.operators.versions import latest_version
 
 @dataclass
 class Store:
-    """A keyed table at ``path``."""
+    """A keyed table at ``path``, in ``buckets`` parts by a hash of the key."""
 
     spark: SparkSession
     path: str
     key: list[str]
+    buckets: int = 16
 
     def _fs(self):  # noqa: ANN202
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def current(self) -> str | None:
-        """The folder of the current version; None for a new table."""
+    def _manifests(self) -> list[str]:
         jvm, fs, p = self._fs()
         mark = jvm.org.apache.hadoop.fs.Path(p, "_current")
-        if not fs.exists(mark):
+        return sorted(f.getPath().getName() for f in fs.listStatus(mark)) if fs.exists(mark) else []
+
+    def current(self) -> dict[int, str] | None:
+        """The folder of each part in the current version, -1 for an empty table's; None for a new table."""
+        names = self._manifests()
+        if not names:
             return None
-        names = [f.getPath().getName() for f in fs.listStatus(mark)]
-        return f"{self.path}/{max(names).split('=', 1)[1]}"
+        jvm, fs, p = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(p, f"_current/{names[-1]}"))
+        try:
+            return {int(k): v for k, v in json.loads(bytes(stream.readAllBytes()).decode()).items()}
+        finally:
+            stream.close()
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in self.key]), F.lit(self.buckets)).cast("int")
+
+    def _parts(self, folders: dict[int, str], wanted: set[int] | None = None) -> DataFrame | None:
+        # an empty part has the columns, so that a version without rows has them too
+        at = [f for b, f in folders.items() if wanted is None or b in wanted or b == -1]
+        return self.spark.read.option("mergeSchema", True).parquet(*at) if at else None
 
     def read(self) -> DataFrame | None:
-        at = self.current()
-        return self.spark.read.parquet(at) if at else None
+        now = self.current()
+        return None if now is None else self._parts(now)
+
+    def touched(self, rows: DataFrame) -> set[int]:
+        """The parts that hold the keys of ``rows``; no more than there are parts."""
+        return {r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect()}
 
-    def write(self, df: DataFrame) -> str:
-        """CTL11: a new version becomes the current one; returns its folder."""
+    def write(self, df: DataFrame, touched: set[int] | None = None) -> str:
+        """CTL11: a new version becomes the current one; returns its folder. With ``touched``, ``df`` has
+        all rows of those parts, and the others stay where they are."""
         jvm, fs, p = self._fs()
+        names = self._manifests()
+        n = int(names[-1].split("=")[0]) + 1 if names else 1
+        folder = f"{self.path}/v{n:06d}-{uuid.uuid4().hex[:8]}"
+        df.withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(folder)
+        made = [f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if f.isDirectory()]
+        new = {int(d.split("=")[1]): f"{folder}/{d}" for d in made if d.startswith("_bucket=")}
+        stay = {} if touched is None else {b: f for b, f in (self.current() or {}).items() if b not in touched and b >= 0}
+        parts = stay | new
+        if not parts:
+            df.limit(0).coalesce(1).write.parquet(f"{folder}/empty")
+            parts = {-1: f"{folder}/empty"}
         mark = jvm.org.apache.hadoop.fs.Path(p, "_current")
-        n = max((int(f.getPath().getName().split("=")[0]) for f in fs.listStatus(mark)), default=0) + 1 if fs.exists(mark) else 1
-        name = f"v{n:06d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{name}")
         fs.mkdirs(mark)
-        fs.create(jvm.org.apache.hadoop.fs.Path(mark, f"{n:06d}={name}"), False).close()  # fails if another writer was first
-        return f"{self.path}/{name}"
+        name = f"{n:06d}={folder.rsplit('/', 1)[1]}"
+        draft, final = jvm.org.apache.hadoop.fs.Path(p, f"_draft-{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(mark, name)
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        if any(int(x.split("=")[0]) >= n for x in self._manifests()) or not fs.rename(draft, final):  # another writer was first
+            raise FileExistsError(f"version {n} of {self.path}")
+        return folder
 
     def upsert(self, new: DataFrame, version: str | None = None) -> str:
-        """SNK01, SNK05, SNK10, SNK17: rows replace those of their key, others stay."""
-        return self.write(upserted(self.read(), new, self.key, version))
+        """SNK01, SNK05, SNK10, SNK17: rows replace those of their key, others stay; only parts that hold such keys are read and written."""
+        now = self.current() or {}
+        touched = self.touched(new)
+        return self.write(upserted(self._parts(now, touched), new, self.key, version), touched)
 
     def append(self, new: DataFrame) -> str:
         """SNK02-04: adds rows; fails if a key is there already or comes twice."""
-        old = self.read()
+        touched = self.touched(new)
+        old = self._parts(self.current() or {}, touched)
         keyed = new.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n"))
         if not keyed.where("n > 1").isEmpty() or old is not None and not keyed.join(old, self.key, "left_semi").isEmpty():
             raise ValueError(f"a key of {self.key} is there already")
-        return self.write(new if old is None else old.unionByName(new, allowMissingColumns=True))
+        return self.write(new if old is None else old.unionByName(new, allowMissingColumns=True), touched)
 
     def delete(self, keys: DataFrame) -> int:
         """SNK07, STM12: takes out the rows of ``keys``; how many there were."""
-        old = self.read()
-        if old is None:
+        now = self.current()
+        if now is None:
             return 0
-        n = old.join(keys.select(*self.key).distinct(), self.key, "left_semi").count()
+        gone = keys.select(*self.key).distinct()
+        touched = self.touched(gone)
+        old = self._parts(now, touched)
+        n = old.join(gone, self.key, "left_semi").count() if old is not None else 0
         if n:
-            self.write(old.join(keys.select(*self.key).distinct(), self.key, "left_anti"))
+            self.write(old.join(gone, self.key, "left_anti"), touched)
         return n
 
     def retain(self, at: str, as_of: Column, days: int = 90) -> int:
@@ -85,9 +129,12 @@ class Store:
         if old is None:
             return 0
         keep = F.col(at) >= as_of - F.make_dt_interval(F.lit(days))
-        n = old.where(~keep).count()
-        if n:
-            self.write(old.where(F.coalesce(keep, F.lit(True))))
+        gone = old.where(~keep)
+        touched = self.touched(gone)
+        if not touched:
+            return 0
+        n = gone.count()
+        self.write(self._parts(self.current(), touched).where(F.coalesce(keep, F.lit(True))), touched)
         return n
 
 

@@ -57,7 +57,7 @@ def q03_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q03_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON document per entry; rows only, since JSON texts differ between engines."""
+    """One JSON document per entry and part of its reviews; rows only, since JSON texts differ between engines."""
     return catalog.documents(full_registry(spark, d), _reviews(spark, d))
 
 

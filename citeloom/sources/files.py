@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 REGISTRY = "dataset_id string, dataset_name string, group_name string, aliases string"
@@ -24,21 +28,34 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
 
 
+@F.pandas_udf(T.StringType())
+def _indented(documents: pd.Series) -> pd.Series:
+    return documents.map(lambda d: json.dumps(json.loads(d), indent=2, ensure_ascii=False))
+
+
 def write_documents(docs: DataFrame, folder: str) -> int:
     """SNK13, SNK14: one file ``<slug>.jsonld`` per row of ``slug, document``; how many.
 
-    Files are written by the tasks through the session's file system, not by the
-    driver. Slugs must be distinct: see ``catalog.slug_clashes``.
+    Tasks write the files through the session's file system, the driver only gives
+    them their names. Slugs must be distinct: see ``catalog.slug_clashes``.
     """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        for b in batches:
-            for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                Path(folder, f"{s}.jsonld").write_text(json.dumps(json.loads(d), indent=2, ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
-
-    return docs.select("slug", "document").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    spark = docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    made = path(f"{folder}/_documents-{uuid.uuid4().hex}")
+    docs.select(F.coalesce("slug", F.lit("")).alias("slug"), _indented("document").alias("value")).write.partitionBy("slug").text(made.toString())
+    fs, n = made.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for d in fs.listStatus(made):
+        name = d.getPath().getName()
+        if not d.isDirectory() or not name.startswith("slug="):
+            continue
+        slug = name.removeprefix("slug=").replace("__HIVE_DEFAULT_PARTITION__", "")
+        for f in fs.listStatus(d.getPath()):
+            target = path(f"{folder}/{slug}.jsonld")
+            fs.delete(target, False)
+            fs.rename(f.getPath(), target)
+            n += 1
+    fs.delete(made, True)
+    return n
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -72,7 +89,8 @@ class PagedSearch(DataSource):
     """SRC09, SRC11: a search service as a data source: one partition per year, pages followed by cursor.
 
     ``pages`` is the folder of its answers (``<year>/<n>.json``, a list of rows and
-    the next cursor); a live service needs only another ``fetch``.
+    the next cursor), a path or the address of a file system that all executors
+    reach; a live service needs only another ``fetch``.
     """
 
     @classmethod
@@ -99,8 +117,12 @@ class PagedReader(DataSourceReader):
         return [Year(y) for y in range(self.start, self.end + 1)]
 
     def fetch(self, year: int, cursor: str) -> dict:
-        p = Path(self.folder, str(year), f"{cursor}.json")
-        return json.loads(p.read_text()) if p.exists() else {"rows": [], "next": None}
+        system, folder = pa.fs.FileSystem.from_uri(self.folder)
+        at = f"{folder}/{year}/{cursor}.json"
+        if system.get_file_info(at).type == pa.fs.FileType.NotFound:
+            return {"rows": [], "next": None}
+        with system.open_input_stream(at) as f:
+            return json.loads(f.read())
 
     def read(self, partition: Year) -> Iterator[tuple]:
         cursor: str | None = "0"

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import code, links, responses
-from citeloom.operators import analyses, mentions, quality
+from citeloom.operators import analyses, catalog, mentions, quality, registry
 from citeloom.operators.packed import ID_DELIMITER, SPACED_ID, PackedGrammar, orcid_values
 from citeloom.operators.shred import json_triples, plain_json, scan, shred_json
+from citeloom.operators.store import Store
 from citeloom.streaming import sync
 
 
@@ -115,3 +116,33 @@ def test_patterns_as_stated(spark):
         assert one.select(code.language_by_patterns(F.lit(text))).first()[0] == language
     for url, ok in (("https://x.org/?u=javascript:alert(1)", False), ("https://x.org/a", True), ("https://github.com/u", False), ("https://github.com/u/r", True), ("https://x.org/a.EXE", False), (None, False)):
         assert one.select(links.valid_url(F.lit(url).cast("string"))).first()[0] is ok
+
+
+def test_an_upsert_touches_only_its_parts(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), ["id"], buckets=4)
+    s.append(spark.createDataFrame([(str(i), i) for i in range(40)], "id string, v int"))
+    before = s.current()
+    s.upsert(spark.createDataFrame([("7", 700), ("7", 700)], "id string, v int"))
+    after = s.current()
+    assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
+    assert {(r.id, r.v) for r in s.read().collect()} == {(str(i), 700 if i == 7 else i) for i in range(40)}
+    assert s.delete(spark.createDataFrame([(str(i),) for i in range(50)], "id string")) == 40 and s.read().count() == 0 and s.read().columns == ["id", "v"]
+    s.upsert(spark.createDataFrame([("x", 1)], "id string, v int"))
+    assert [tuple(r) for r in s.read().collect()] == [("x", 1)]
+
+
+def test_parts_of_texts(spark):
+    texts = ["abcd", "", "xabcy", "b"]
+    parts = ["abc", "b", "", "zz", "abcd"]
+    got = {tuple(r) for r in registry.contained(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in parts], "part string")).collect()}
+    assert got == {(t, p) for t in texts for p in parts if p in t}
+
+
+def test_reviews_are_placed_across_partitions(spark):
+    rows = spark.createDataFrame([("d", "t", f"10.{i % 7}", "p", "b", 1.0, None, i) for i in range(500)] + [("e", "t", None, "p", "b", 1.0, None, 1)], "dataset_id string, title string, doi string, publication_id string, body string, mention double, use double, seq int")
+    got = catalog.ordered_reviews([catalog.reviews(rows, "validation")])
+    placed = sorted((r.place, r.doi, r.seq) for r in got.where("dataset_id = 'd'").collect())
+    assert [p for p, _, _ in placed] == list(range(500)) and [x[1:] for x in placed] == sorted(x[1:] for x in placed)
+    reg = spark.createDataFrame([("d", "A Thing", None), ("f", "No Review", None)], "dataset_id string, dataset_name string, aliases string")
+    docs = {(r.dataset_id, r.part): (r.slug, len(json.loads(r.document).get("review", []))) for r in catalog.documents(reg, got, part_size=200).collect()}
+    assert docs == {("d", 0): ("a-thing", 200), ("d", 1): ("a-thing-1", 200), ("d", 2): ("a-thing-2", 100), ("f", 0): ("no-review", 0)}

@@ -269,7 +269,7 @@ def repaired_units(wanted: DataFrame, vocab: Vocabulary) -> DataFrame:
 
         return df.select(name).mapInArrow(run, f"{name} string, keys array<string>").select(name, F.explode("keys").alias("key"))
 
-    index = materialise(keyed(held, "word", word_keys).select("key", "word"), "word-keys")
+    index = keyed(held, "word", word_keys).select("key", "word")
 
     def met(df: DataFrame, name: str, keys: Callable[[str], list[str]]) -> DataFrame:
         found = keyed(df, name, keys).join(index, "key").select(name, F.concat(F.substring("key", 1, 1), "word").alias("c"))
@@ -292,8 +292,7 @@ def repaired_units(wanted: DataFrame, vocab: Vocabulary) -> DataFrame:
     said = met(glued.select("rest").distinct(), "rest", lambda r: rest_keys(r, vocab)).mapInArrow(rests, "rest string, parts array<struct<v:string,s:double>>")
     both = glued.join(said, "rest").select("unit", "word", "first", F.inline("parts"))
     whole = F.when(F.col("first"), F.concat_ws(" ", "word", "v")).otherwise(F.concat_ws(" ", "v", "word"))
-    best = both.groupBy("unit", whole.alias("w")).agg(F.max("s").alias("s"))
-    more = best.groupBy("unit").agg(F.array_join(F.array_sort(F.collect_list(F.concat("w", F.lit(":"), F.col("s").cast("string")))), "|").alias("more"))
+    more = both.groupBy("unit").agg(F.array_join(F.array_sort(F.collect_set(F.concat(whole, F.lit(":"), F.col("s").cast("string")))), "|").alias("more"))
     every = one.select("unit", "words").join(more, "unit", "left").select("unit", F.concat_ws("|", F.nullif("words", F.lit("")), "more").alias("words"))
     return every.where("words <> ''")
 
@@ -314,11 +313,13 @@ def _assign(words: tuple[str, ...], found: dict[str, list[tuple[float, frozenset
     best = (0, 0.0, frozenset(), 0.0)
     # the most that the words from each on can add: what can't be better isn't tried
     most = [(0, 0.0)]
+    long = len(words) > 6  # of short entries few uses are left to try, and remembering them costs more
     later: list[frozenset[int]] = [frozenset()]  # tokens that the words from each on can use
     for w in reversed(words):
         sims = [sim for sim, _ in found.get(w, ())]
         most.append((most[-1][0] + bool(sims), most[-1][1] + max(sims, default=0.0)))
-        later.append(later[-1].union(*(at for _, at in found.get(w, ()))))
+        if long:
+            later.append(later[-1].union(*(at for _, at in found.get(w, ()))))
     most.reverse()
     later.reverse()
     seen: dict[tuple[int, frozenset[int]], tuple[int, float]] = {}  # the best of the words before that leaves the later ones the same tokens
@@ -331,10 +332,11 @@ def _assign(words: tuple[str, ...], found: dict[str, list[tuple[float, frozenset
             return
         if n + most[k][0] < best[0] or n + most[k][0] == best[0] and total + most[k][1] <= best[1] + 1e-12:
             return
-        state = (k, used & later[k])
-        if state in seen and (n, total) <= seen[state]:
-            return
-        seen[state] = (n, total)
+        if long:
+            state = (k, used & later[k])
+            if state in seen and (n, total) <= seen[state]:
+                return
+            seen[state] = (n, total)
         for sim, at in found.get(words[k], ()):
             if not at & used:
                 go(k + 1, n + 1, total + sim, used | at, min(least, sim))
@@ -422,8 +424,11 @@ def decide(verdicts: list[Verdict]) -> str | None:
 
 
 def _words(text: str) -> list[tuple[str, float]]:
-    """Repaired words from 'word:similarity' joined by bars."""
-    return [(w, float(s)) for w, _, s in (x.rpartition(":") for x in text.split("|"))]
+    """Repaired words from 'word:similarity' joined by bars, each with its greatest similarity."""
+    best: dict[str, float] = {}
+    for w, _, s in (x.rpartition(":") for x in text.split("|")):
+        best[w] = max(best.get(w, 0.0), float(s))
+    return list(best.items())
 
 
 def resolve_names(fields: DataFrame, reference: DataFrame, fillers: frozenset[str] = FILLERS, short_forms: dict[str, str] | None = None) -> DataFrame:

@@ -288,7 +288,7 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 512) -> D
     first, length = F.shiftright("place", 24), F.col("place").bitwiseAND(0xFFF) + least
     alike = hits.where("alike").select("doc_id", first.alias("a"), (first + length).alias("b"))
 
-    mixed = materialise(hits.where("not alike").select("doc_id", "anchor", "win", "place"), "mixed")
+    mixed = hits.where("not alike").select("doc_id", "anchor", "win", "place")
     one = mixed.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "place")).alias("rep"))
     wanted = materialise(one.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "win", "rep.place", "lo", "hi")).alias("wanted")), "wanted")
     # a table of its own, so that Spark knows its size: few ids go to every task and the
@@ -310,7 +310,7 @@ def shared_spans(docs: DataFrame, least: int = 200, shard_texts: int = 512) -> D
 
     asked = texts.join(wanted_docs, "doc_id", "left_semi").join(wanted, "doc_id").select("text", "wanted")
     windows = materialise(asked.mapInArrow(cut, "anchor long, win long, at int, lo long, hi long, text string"), "windows")
-    large = materialise(windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_texts).select("anchor"), "large")
+    large = windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_texts).select("anchor")
     light, heavy = windows.join(large, "anchor", "left_anti"), windows.join(large, "anchor", "left_semi")
     shards = light.groupBy("anchor").agg(F.collect_list(F.struct("win", "text", "at", "lo", "hi")).alias("texts"))
 

@@ -122,6 +122,11 @@ class Vocabulary:
                 self.by_word[w].add(e)
         n = max(1, len(self.entries))
         self.idf = {w: math.log(1 + n / len(es)) for w, es in self.by_word.items()}
+        # an entry lacks one word at most, so one of its two rarest is found
+        self.by_rare: dict[str, list[str]] = defaultdict(list)
+        for e, words in self.entries.items():
+            for w in sorted(words, key=lambda w: (len(self.by_word[w]), w))[:2]:
+                self.by_rare[w].append(e)
         self.words = sorted(self.by_word)
         self.lengths = (min(map(len, self.words), default=0), max(map(len, self.words), default=0))
 
@@ -269,7 +274,7 @@ def repaired_units(wanted: DataFrame, vocab: Vocabulary) -> DataFrame:
 
         return df.select(name).mapInArrow(run, f"{name} string, keys array<string>").select(name, F.explode("keys").alias("key"))
 
-    index = keyed(held, "word", word_keys).select("key", "word")
+    index = materialise(keyed(held, "word", word_keys).select("key", "word"), "word-keys")  # so that Spark knows how small it is
 
     def met(df: DataFrame, name: str, keys: Callable[[str], list[str]]) -> DataFrame:
         found = keyed(df, name, keys).join(index, "key").select(name, F.concat(F.substring("key", 1, 1), "word").alias("c"))
@@ -362,14 +367,10 @@ def judge(tokens: list[str], repaired: dict[str, list[tuple[str, float]]], vocab
         if t in vocab.acronyms:
             acronym |= vocab.acronyms[t]
             content.discard(i)
-    hits: Counter = Counter()
-    for w in found:
-        for e in vocab.by_word[w]:
-            hits[e] += 1
     ranked = []
-    for e, n in hits.items():
+    for e in {e for w in found for e in vocab.by_rare.get(w, ())}:
         words = vocab.entries[e]
-        if n < max(1, len(words) - 1):
+        if sum(w in found for w in words) < len(words) - 1:
             continue
         got, _, used, least = _assign(words, found)
         if got < len(words) - 1:

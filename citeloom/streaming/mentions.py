@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,11 +17,11 @@ def accumulated(stream: DataFrame, key: str = "publication_id", mention: str = "
     """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0].split("\x1f")) - {""} if state.exists else set()
+        seen = set(json.loads(state.get[0])) if state.exists else set()
         before = len(seen)
         for b in batches:
             seen |= set(b[mention].dropna())
-        state.update(("\x1f".join(sorted(seen)),))
+        state.update((json.dumps(sorted(seen)),))
         yield pd.DataFrame({key: [k[0]], "n_mentions": [len(seen)], "new_mentions": [len(seen) - before]})
 
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} string, n_mentions int, new_mentions int", "mentions string", "update", GroupStateTimeout.NoTimeout)
